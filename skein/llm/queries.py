@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup
+from skein.llm import decontaminate, exact_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontaminate": decontaminate.oracle(),
         "op8_exact_dedup": exact_dedup.oracle(),
     }
