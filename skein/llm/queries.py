@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, exact_dedup
+from skein.llm import decontaminate, exact_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
