@@ -6,11 +6,20 @@ from collections.abc import Callable, Iterable
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: Pieces kept by a worker; beyond it the store starts anew, which changes no result.
 MOST_PIECES = 700_000
 
 
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[start : start + size] of the codes, one after another, and their sizes."""
+    n = size[codes]
+    at = np.repeat(start[codes] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return pool[at], n
+
+
 class Pieces:
     """A store from a piece to its ids; `encode` gives the ids of new pieces: flat, and how many for each."""
 
@@ -36,11 +45,14 @@ class Pieces:
         if len(missing):
             self._learn(dict.fromkeys(map(pieces.__getitem__, missing.tolist())))
             codes[missing] = np.fromiter((self.code[pieces[k]] for k in missing.tolist()), np.int64, len(missing))
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        at = np.repeat(self.start[codes] - (ends - size), size)
-        at += np.arange(len(at))
-        return self.pool[at], size
+        return gather(self.pool, self.start, self.size, codes)
+
+    def ids_of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ids(), for an Arrow array of pieces without nulls: each different piece of it is looked up once."""
+        found = pieces.dictionary_encode()
+        ids, size = self.ids(found.dictionary.to_pylist())
+        at = found.indices.to_numpy()
+        return gather(ids, np.cumsum(size) - size, size, at)
 
     def _learn(self, new: Iterable[str]) -> None:
         new = list(new)

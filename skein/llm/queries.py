@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontaminate, exact_dedup, simhash
+from skein.llm import bpe, decontaminate, exact_dedup, simhash, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_store": token_store.op3_token_store,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
