@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontaminate, exact_dedup, simhash, token_store
+from skein.llm import bpe, decontaminate, exact_dedup, simhash, token_store, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": warc.op2_warc,
         "op3_token_store": token_store.op3_token_store,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.oracle(),
         "op6_decontaminate": decontaminate.oracle(),
         "op8_exact_dedup": exact_dedup.oracle(),
     }
