@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.llm.common import arrow_batches, cut, publish, read_file, table, work_dir
-from skein.llm.pieces import Pieces, by_text
+from skein.llm.pieces import Pieces, by_text, gather
 from skein.llm.wavelet import WaveletMatrix
 
 #: The id that ends each document.
@@ -30,11 +31,16 @@ END_ID = 1
 #: Bytes of text dealt to one writer, and ids after which it begins a new file.
 SHARD_BYTES = 24 << 20
 SHARD_IDS = 12 << 20
-#: Words, and pieces between spaces, that a worker keeps with their ids.
-MOST_WORDS, MOST_CHUNKS = 1_000_000, 700_000
-
-#: Letters of Latin scripts that are stable under NFC, then ASCII punctuation but for the apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes of text encoded together, so that a word is looked up once for many documents.
+ENCODE_BYTES = 12 << 20
+#: Words, and pieces that aren't letters and marks, that a worker keeps with their ids.
+MOST_WORDS, MOST_OTHERS = 1_000_000, 200_000
+
+#: A piece between spaces, A-Z lower-cased, that is letters stable under NFC and then ASCII punctuation but for the
+#: apostrophe: the tokenizer splits it there. RE2 syntax.
+_LETTERS, _MARKS = "a-zß-öø-įıĲ-ſ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = f"^[{_LETTERS}]*[{_MARKS}]*$"
+_WORD_PART, _MARK_PART = f"^[{_LETTERS}]+", f"[{_MARKS}]+$"
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: White space to Python, but not to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -54,29 +60,20 @@ class WordBpe:
         self.bits = int(self.library.get_vocab_size(with_added_tokens=True) - 1).bit_length()
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.words, self.pieces = Pieces(self._ask, MOST_WORDS), Pieces(self._chunks, MOST_CHUNKS)
+        self.words, self.others = Pieces(self._ask, MOST_WORDS), Pieces(self._split, MOST_OTHERS)
 
     def _ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for k in range(0, len(words), 20_000) for e in self.library.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum())), size
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _split(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For pieces of any kind: white space that isn't a space, digits, apostrophes, other scripts."""
         words, counts = [], []
-        for chunk in chunks:
+        for piece in pieces:
             before = len(words)
-            if m := _PLAIN.fullmatch(chunk):  # has no special token and no odd space: those have other characters first
-                words += (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
-            elif self._odd(chunk):
-                words.append(chunk)
-            else:
-                for part in chunk.split():
-                    if m := _PLAIN.fullmatch(part):
-                        words += (m[1].lower(), m[2]) if m[2] else (m[1].lower(),)
-                    elif part.isascii():
-                        words += _ASCII_WORD.findall(part.lower())
-                    else:
-                        words.append(part)
+            for part in [piece] if self._odd(piece) else piece.split():
+                words += _ASCII_WORD.findall(part.lower()) if part.isascii() and not self._odd(part) else [part]
             counts.append(len(words) - before)
         ids, size = self.words.ids(words)
         ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *counts])]
@@ -85,19 +82,38 @@ class WordBpe:
     def _odd(self, text: str) -> bool:
         return bool(self.special and self.special.search(text) or _ODD.search(text))
 
+    def _pieces(self, flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces between spaces, flat, and the number of each."""
+        coded = flat.dictionary_encode()
+        piece, at = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(piece, _PLAIN)
+        where = [np.flatnonzero(plain.to_numpy(zero_copy_only=False)), np.flatnonzero(~plain.to_numpy(zero_copy_only=False))]
+        letters_marks, other = piece.filter(plain), piece.filter(pc.invert(plain))
+        letters = pc.replace_substring_regex(letters_marks, _MARK_PART, "")
+        marks = pc.replace_substring_regex(letters_marks, _WORD_PART, "")
+        parts = [(where[0], *self.words.ids_of(letters)), (where[0], *self.words.ids_of(marks)), (where[1], *self.others.ids(other.to_pylist()))]
+        size = np.zeros(len(piece), np.int64)
+        for own, _, n in parts:
+            size[own] += n
+        start = np.cumsum(size) - size
+        pool, free = np.zeros(int(size.sum()), np.uint32), start.copy()
+        for own, ids, n in parts:
+            pool[np.repeat(free[own] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+            free[own] += n
+        return gather(pool, start, size, at)
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids (uint32) of each text of a string array without nulls."""
-        odd = [self._odd(x) for x in texts.to_pylist()] if _may_be_odd(texts, self.special) else [False] * len(texts)
+        odd = [self._odd(x) for x in texts.to_pylist()] if self._any_odd(texts) else [False] * len(texts)
         plain = texts.filter(pa.array([not x for x in odd])) if any(odd) else texts
-        split = pc.split_pattern(plain, " ")
-        found = iter(by_text(*self.pieces.ids_of(split.flatten()), pc.list_value_length(split).to_numpy().tolist()))
-        return [self.pieces.ids([x.as_py()])[0] if strange else next(found) for x, strange in zip(texts if any(odd) else odd, odd, strict=True)]
-
+        split = pc.split_pattern(pc.ascii_lower(plain), " ")
+        found = iter(by_text(*self._pieces(split.flatten()), pc.list_value_length(split).to_numpy().tolist()))
+        return [self._ask([texts[k].as_py()])[0] if strange else next(found) for k, strange in enumerate(odd)]
 
-def _may_be_odd(texts: pa.Array, special: re.Pattern | None) -> bool:
-    """Whether any of the texts can need the library as a whole; by Arrow, without Python strings."""
-    pattern = "[\x1c-\x1f]" + (f"|{special.pattern}" if special else "")
-    return bool(pc.any(pc.match_substring_regex(texts, pattern)).as_py())
+    def _any_odd(self, texts: pa.Array) -> bool:
+        """Whether any of the texts needs the library as a whole; by Arrow, without Python strings."""
+        pattern = "[\x1c-\x1f]" + (f"|{self.special.pattern}" if self.special else "")
+        return bool(pc.any(pc.match_substring_regex(texts, pattern)).as_py())
 
 
 _loaded: dict[str, WordBpe] = {}
@@ -148,16 +164,27 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, text: st
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["part", "seq", "path", "n_docs", "n_tokens"])
 
         kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        for batch in batches:
-            found = bpe.encode(batch.column(1))
+        def take(waiting: list[pa.RecordBatch]) -> None:
+            nonlocal held
+            found = bpe.encode(pa.concat_arrays([b.column(1) for b in waiting]))
             own = [len(x) + 1 for x in found]
-            ids.append(np.concatenate([y for x in found for y in (x, end)]) if found else end[:0])
-            names.append(batch.column(0))
-            counts += own
+            ids.append(np.concatenate([y for x in found for y in (x, end)]))
+            names.extend(b.column(0) for b in waiting)
+            counts.extend(own)
             held += sum(own)
+
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+            if sum(b.nbytes for b in waiting) >= ENCODE_BYTES:
+                take(waiting)
+                waiting = []
             if held >= SHARD_IDS:
                 yield flush()
                 ids, names, counts, held, seq = [], [], [], 0, seq + 1
+        if waiting:
+            take(waiting)
         if counts:
             yield flush()
 
