@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontaminate, exact_dedup, simhash, token_store, toxicity, warc
+from skein.llm import bpe, decontaminate, exact_dedup, language_id, simhash, token_store, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
         "op2_warc": warc.op2_warc,
         "op3_token_store": token_store.op3_token_store,
         "op5_bpe": bpe.op5_bpe,
