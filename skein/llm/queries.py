@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontaminate, exact_dedup, language_id, simhash, token_store, toxicity, warc
+from skein.llm import bpe, chat, decontaminate, exact_dedup, language_id, simhash, token_store, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "op10_chat_format": chat.op10_chat_format,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc": warc.oracle(),
         "op6_decontaminate": decontaminate.oracle(),
         "op8_exact_dedup": exact_dedup.oracle(),
+        "op10_chat_format": chat.oracle(),
     }
