@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, chat, decontaminate, exact_dedup, language_id, simhash, token_store, toxicity, warc
+from skein.llm import bpe, chat, decontaminate, exact_dedup, language_id, secrets, simhash, token_store, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.op1_language_id,
         "op2_warc": warc.op2_warc,
         "op3_token_store": token_store.op3_token_store,
+        "op4_secrets": secrets.op4_secrets,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_toxicity": toxicity.op7_toxicity,
