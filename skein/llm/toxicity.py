@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import arrow_batches, fold, strings, table
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their identifiers.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 #: Lengths of prefixes that are features beside the whole word, and buckets that features are hashed to.
 PREFIXES, BUCKETS = (3, 4, 5), 1 << 20
 #: Steps, rate and momentum of training; a feature must pull by more than SHRINK documents to leave zero, and moves
@@ -61,7 +62,7 @@ def _bags(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarr
     """Different words; word number and sentence number of each word in the texts; and each sentence's text number.
     Sentences without words have no number."""
     vocabulary: dict[str, int] = {}
-    word, sentence, owner = [], [], []
+    word, sentence, owner = array("q"), array("q"), array("q")  # a few bytes a word, however many words
     for k, text in enumerate(texts):
         fresh = True
         for token in _TOKEN.findall(text.lower()):
@@ -73,7 +74,7 @@ def _bags(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarr
                 fresh = False
             word.append(vocabulary.setdefault(token, len(vocabulary)))
             sentence.append(len(owner) - 1)
-    return list(vocabulary), np.array(word, np.int64), np.array(sentence, np.int64), np.array(owner, np.int64)
+    return list(vocabulary), *(np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (word, sentence, owner))
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
