@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from skein.params import RipsParams, checked_dim
 from skein.plans.kernel import rips_bars
+from skein.schema import BARS
 
 
 def distance(a: list[float], b: list[float]) -> float:
@@ -24,7 +26,7 @@ def distance(a: list[float], b: list[float]) -> float:
     return m * math.sqrt(total)
 
 
-@udtf(returnType="dim int, birth double, death double")
+@udtf(returnType=T.StructType(BARS.fields[1:]))
 class RipsBars:
     def eval(self, points: list, max_dim: int = 1, threshold: float | None = None, modulus: int = 2):
         params = RipsParams(max_dim, threshold, modulus).validate()

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def binomial(n: Column, k: int) -> Column:
@@ -43,7 +44,7 @@ def unranked(index: int, size: int) -> list[int]:
 def unrank(index: Column, size: int) -> Column:
     """The ascending vertices of the simplex with this number, by an Arrow-backed function."""
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def run(numbers: pd.Series) -> pd.Series:
         return pd.Series([unranked(int(i), size) for i in numbers])
 

@@ -21,10 +21,10 @@ def expand(simplices: DataFrame, edges: DataFrame, size: int) -> DataFrame:
     vertex, and one for each other vertex; the diameter grows along."""
     out = simplices
     step = edges.select(F.col("group_id").alias("_g"), F.col("v").alias("_v"), F.col("u").alias("_u"), F.col("d").alias("_d"))
-    out = out.join(step, out["group_id"].eqNullSafe(step["_g"]) & (F.element_at("verts", -1) == F.col("_v")))
+    out = out.join(step, F.col("group_id").eqNullSafe(F.col("_g")) & (F.element_at("verts", -1) == F.col("_v")))
     out = out.select("group_id", "verts", F.greatest("diameter", "_d").alias("diameter"), F.col("_u").alias("new"))
     for i in range(size - 1):
-        out = out.join(step, out["group_id"].eqNullSafe(step["_g"]) & (F.element_at("verts", i + 1) == F.col("_v")) & (F.col("new") == F.col("_u")))
+        out = out.join(step, F.col("group_id").eqNullSafe(F.col("_g")) & (F.element_at("verts", i + 1) == F.col("_v")) & (F.col("new") == F.col("_u")))
         out = out.select("group_id", "verts", F.greatest("diameter", "_d").alias("diameter"), "new")
     return out.select("group_id", F.array_append("verts", F.col("new")).alias("verts"), "diameter")
 
@@ -62,8 +62,8 @@ def cofacets(simplices_of_dim: DataFrame, next_simplices: DataFrame, dim: int) -
     the position k of the added vertex (the sign is (-1) ** k)."""
     up = facets(next_simplices, dim + 1)
     own = simplices_of_dim.select(F.col("group_id").alias("_g"), "idx", "diameter")
-    met = up.join(own, up["group_id"].eqNullSafe(own["_g"]) & (up["facet_idx"] == own["idx"]))
-    return met.select("group_id", own["idx"], own["diameter"], F.col("simplex_idx").alias("cofacet_idx"), F.col("simplex_diameter").alias("cofacet_diameter"), "k")
+    met = up.join(own, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("facet_idx") == F.col("idx")))
+    return met.select("group_id", "idx", "diameter", F.col("simplex_idx").alias("cofacet_idx"), F.col("simplex_diameter").alias("cofacet_diameter"), "k")
 
 
 def facets(simplices_of_dim: DataFrame, dim: int) -> DataFrame:
@@ -80,7 +80,7 @@ def boundary_squared(simplices_of_dim: DataFrame, lower: DataFrame, dim: int) ->
     face_idx, coefficient. lower: the (dim - 1)-simplices."""
     a = facets(simplices_of_dim, dim).select("group_id", "simplex_idx", "facet_idx", F.col("sign").alias("s"))
     b = facets(lower, dim - 1).select(F.col("group_id").alias("_g"), F.col("simplex_idx").alias("_i"), F.col("facet_idx").alias("face_idx"), F.col("sign").alias("t"))
-    met = a.join(b, a["group_id"].eqNullSafe(b["_g"]) & (a["facet_idx"] == b["_i"]))
+    met = a.join(b, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("facet_idx") == F.col("_i")))
     return met.groupBy("group_id", "simplex_idx", "face_idx").agg(F.sum(F.col("s") * F.col("t")).alias("coefficient"))
 
 
@@ -91,5 +91,5 @@ def apparent_pairs(faces: DataFrame) -> DataFrame:
     first = even.groupBy("group_id", "cofacet_idx").agg(F.min("idx").alias("idx"))
     last = even.groupBy("group_id", "idx", "diameter").agg(F.max("cofacet_idx").alias("cofacet_idx"))
     first = first.select(F.col("group_id").alias("_g"), F.col("cofacet_idx").alias("_c"), F.col("idx").alias("_i"))
-    met = last.join(first, last["group_id"].eqNullSafe(first["_g"]) & (F.col("cofacet_idx") == F.col("_c")) & (F.col("idx") == F.col("_i")))
+    met = last.join(first, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("cofacet_idx") == F.col("_c")) & (F.col("idx") == F.col("_i")))
     return met.select("group_id", "idx", "cofacet_idx", "diameter")

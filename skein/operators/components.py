@@ -13,7 +13,7 @@ def _roots(parent: DataFrame) -> DataFrame:
     now = cut(parent)
     while True:
         up = now.select(F.col("group_id").alias("_g"), F.col("c").alias("_c"), F.col("p").alias("_p"))
-        met = now.join(up, now["group_id"].eqNullSafe(up["_g"]) & (F.col("p") == F.col("_c")))
+        met = now.join(up, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_c")))
         after = cut(met.select("group_id", "c", F.col("_p").alias("p"), (F.col("p") != F.col("_p")).alias("moved")))
         if not after.where("moved").limit(1).count():
             return after.select("group_id", "c", F.col("p").alias("root"))
@@ -35,11 +35,11 @@ def spanning_forest(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         forest = chosen if forest is None else forest.unionByName(chosen)
         back = best.select(F.col("group_id").alias("_g"), F.col("c").alias("_c"), F.col("p").alias("_p"))
         # Two components that choose each other: the smaller one is the root.
-        to = best.join(back, best["group_id"].eqNullSafe(back["_g"]) & (F.col("p") == F.col("_c")))
+        to = best.join(back, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("p") == F.col("_c")))
         roots = _roots(to.select("group_id", "c", F.when((F.col("_p") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
         name = roots.select(F.col("group_id").alias("_g"), F.col("c").alias("_c"), "root")
-        left = left.join(name, left["group_id"].eqNullSafe(name["_g"]) & (F.col("cu") == F.col("_c"))).select("group_id", "u", "v", "d", "idx", F.col("root").alias("cu"), "cv")
-        left = left.join(name, left["group_id"].eqNullSafe(name["_g"]) & (F.col("cv") == F.col("_c"))).select("group_id", "u", "v", "d", "idx", "cu", F.col("root").alias("cv"))
+        left = left.join(name, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("cu") == F.col("_c"))).select("group_id", "u", "v", "d", "idx", F.col("root").alias("cu"), "cv")
+        left = left.join(name, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("cv") == F.col("_c"))).select("group_id", "u", "v", "d", "idx", "cu", F.col("root").alias("cv"))
         left = cut(left.where("cu <> cv"))
         forest = cut(forest)
     return ranked.limit(0).select("group_id", "u", "v", "d", "idx") if forest is None else forest
@@ -50,6 +50,6 @@ def h0_bars(vertices: DataFrame, forest: DataFrame) -> DataFrame:
     finite = forest.where("d > 0").select("group_id", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.col("d").alias("death"))
     n = vertices.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     m = forest.groupBy("group_id").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("group_id", "_g")
-    left = n.join(m, n["group_id"].eqNullSafe(m["_g"]), "left").select("group_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("k"))
+    left = n.join(m, F.col("group_id").eqNullSafe(F.col("_g")), "left").select("group_id", (F.col("n") - F.coalesce("m", F.lit(0))).alias("k"))
     essential = left.select("group_id", F.explode(F.sequence(F.lit(1).cast("long"), "k"))).select("group_id", F.lit(0).alias("dim"), F.lit(0.0).alias("birth"), F.lit(float("inf")).alias("death"))
     return finite.unionByName(essential)

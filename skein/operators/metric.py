@@ -23,7 +23,7 @@ def pairwise(points: DataFrame) -> DataFrame:
     """Edges (group_id, u, v, d) with v < u of points (group_id, id, coords): an equality join on the group."""
     a = points.select("group_id", F.col("id").alias("u"), F.col("coords").alias("_a"))
     b = points.select(F.col("group_id").alias("_g"), F.col("id").alias("v"), F.col("coords").alias("_b"))
-    met = a.join(b, a["group_id"].eqNullSafe(b["_g"]) & (F.col("v") < F.col("u")))
+    met = a.join(b, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("v") < F.col("u")))
     return met.select("group_id", "u", "v", euclidean(F.col("_a"), F.col("_b")).alias("d"))
 
 
@@ -40,7 +40,7 @@ def enclosing_radius(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     reach = ends.groupBy("group_id", "id").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("met"))
     far = reach.groupBy("group_id", "met").agg(F.min("far").alias("far"))
     own = far.withColumnRenamed("group_id", "_g")
-    best = n.join(own, n["group_id"].eqNullSafe(own["_g"]) & (own["met"] == n["n"] - 1), "left").groupBy("group_id").agg(F.max("n").alias("n"), F.min("far").alias("far"))
+    best = n.join(own, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("met") == F.col("n") - 1), "left").groupBy("group_id").agg(F.max("n").alias("n"), F.min("far").alias("far"))
     return best.select("group_id", F.when(F.col("n") < 2, 0.0).otherwise(F.coalesce("far", F.lit(INF))).alias("radius"))
 
 

@@ -41,7 +41,7 @@ class MetricSpace:
         if threshold is not None or self.kind == "sparse":
             return within(self.edges, INF if threshold is None else threshold)
         radius = self.enclosing_radius().withColumnRenamed("group_id", "_g")
-        met = self.edges.join(radius, self.edges["group_id"].eqNullSafe(radius["_g"]))
+        met = self.edges.join(radius, F.col("group_id").eqNullSafe(F.col("_g")))
         return within(met, F.col("radius")).select("group_id", "u", "v", "d")
 
 
@@ -61,10 +61,10 @@ def rips_persistence(space: MetricSpace, params: RipsParams | None = None, engin
         return _kernel(space.vertices, edges, top, params)
     size = space.n().withColumnRenamed("n", "size")
     count = edges.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_edges")).withColumnRenamed("group_id", "_g")
-    large = size.join(count, size["group_id"].eqNullSafe(count["_g"]), "left").where((F.col("size") > KERNEL_POINTS) | (F.col("n_edges") > KERNEL_EDGES)).select(F.col("group_id").alias("_h"))
+    large = size.join(count, F.col("group_id").eqNullSafe(F.col("_g")), "left").where((F.col("size") > KERNEL_POINTS) | (F.col("n_edges") > KERNEL_EDGES)).select(F.col("group_id").alias("_h"))
     if largest <= KERNEL_POINTS or not large.limit(1).count():
         return _kernel(space.vertices, edges, top, params)
-    of = lambda df, how: df.join(large, df["group_id"].eqNullSafe(F.col("_h")), how)
+    of = lambda df, how: df.join(large, F.col("group_id").eqNullSafe(F.col("_h")), how)
     small = _kernel(of(space.vertices, "left_anti"), of(edges, "left_anti"), top, params)
     return small.unionByName(_rounds(of(space.vertices, "left_semi"), of(edges, "left_semi"), top, params))
 
@@ -76,8 +76,9 @@ def _rounds(vertices: DataFrame, edges: DataFrame, top: int, params: RipsParams)
 def _kernel(vertices: DataFrame, edges: DataFrame, top: int, params: RipsParams) -> DataFrame:
     modulus, apparent, clearing = params.modulus, params.use_apparent_pairs, params.use_clearing
 
-    def run(key: tuple, points: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(points["id"].to_numpy())
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        point = rows["d"].isna().to_numpy()
+        ids, pairs = np.sort(rows["u"].to_numpy()[point]), rows[~point]
         u, v = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("u", "v"))
         bars = rips_bars(len(ids), u, v, pairs["d"].to_numpy(), min(top, max(len(ids) - 1, 0)), modulus, apparent, clearing)
         bars.sort()
@@ -86,5 +87,6 @@ def _kernel(vertices: DataFrame, edges: DataFrame, top: int, params: RipsParams)
         return out
 
     kind = vertices.schema["group_id"].dataType.simpleString()
-    both = vertices.groupBy("group_id").cogroup(edges.groupBy("group_id"))
-    return both.applyInPandas(run, f"group_id {kind}, dim int, birth double, death double")
+    points = vertices.select("group_id", F.col("id").alias("u"), F.col("id").alias("v"), F.lit(None).cast("double").alias("d"))
+    rows = points.unionByName(edges.select("group_id", "u", "v", "d"))
+    return rows.groupBy("group_id").applyInPandas(run, f"group_id {kind}, dim int, birth double, death double")

@@ -24,7 +24,7 @@ def _same(df: DataFrame, **names: str) -> DataFrame:
 
 def _anti(df: DataFrame, other: DataFrame, column: str, by: str) -> DataFrame:
     other = other.select(F.col("group_id").alias("_g"), F.col(by).alias("_k")).distinct()
-    return df.join(other, df["group_id"].eqNullSafe(F.col("_g")) & (df[column] == F.col("_k")), "left_anti")
+    return df.join(other, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col(column) == F.col("_k")), "left_anti")
 
 
 def _pivots(matrix: DataFrame) -> DataFrame:
@@ -50,14 +50,14 @@ def reduce(matrix: DataFrame, faces: DataFrame, mates: DataFrame, modulus: int)
         first = pivots.groupBy("group_id", "row").agg(F.max(F.struct("col_d", (-F.col("col")).alias("_c"), "col", "c")).alias("b")).select("group_id", "row", F.col("b.col").alias("owner"), F.col("b.c").alias("lead"))
         first = _anti(first, lead_of_mates, "row", "row").withColumn("mate", F.lit(False)).unionByName(lead_of_mates.withColumn("mate", F.lit(True)))
         first = _same(first, group_id="_g", row="_r")
-        shared = pivots.join(first, pivots["group_id"].eqNullSafe(first["_g"]) & (pivots["row"] == first["_r"])).where("col <> owner")
+        shared = pivots.join(first, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("row") == F.col("_r"))).where("col <> owner")
         factor = F.pmod(-F.col("c") * F.col("inverse"), F.lit(modulus))
         shared = cut(shared.join(F.broadcast(inverses), "lead").select("group_id", "col", "col_d", "owner", "mate", factor.alias("factor")))
         if not shared.limit(1).count():
             return pivots
         sources = matrix.withColumn("mate", F.lit(False)).unionByName(faces.withColumn("mate", F.lit(True)))
         sources = sources.select(F.col("group_id").alias("_g"), F.col("col").alias("_o"), F.col("mate").alias("_m"), "row", "row_d", "c")
-        added = shared.join(sources, shared["group_id"].eqNullSafe(sources["_g"]) & (F.col("owner") == F.col("_o")) & (F.col("mate") == F.col("_m")))
+        added = shared.join(sources, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("owner") == F.col("_o")) & (F.col("mate") == F.col("_m")))
         added = added.select("group_id", "col", "col_d", "row", "row_d", F.pmod(F.col("c") * F.col("factor"), F.lit(modulus)).alias("c"))
         total = matrix.unionByName(added).groupBy("group_id", "col", "col_d", "row", "row_d").agg(F.pmod(F.sum("c"), F.lit(modulus)).alias("c"))
         matrix = cut(total.where("c <> 0"))
@@ -82,7 +82,7 @@ def rips_rounds(vertices: DataFrame, edges: DataFrame, max_dim: int, modulus: in
         mates = cut(_anti(mates, dead, "idx", "idx").select("group_id", F.col("idx").alias("col"), F.col("cofacet_idx").alias("row")))
         columns = cut(_anti(columns, mates, "idx", "col"))
         keep = columns.select(F.col("group_id").alias("_g"), F.col("idx").alias("_i"))
-        matrix = entries.join(keep, entries["group_id"].eqNullSafe(keep["_g"]) & (F.col("col") == F.col("_i")), "left_semi")
+        matrix = entries.join(keep, F.col("group_id").eqNullSafe(F.col("_g")) & (F.col("col") == F.col("_i")), "left_semi")
         pivots = reduce(matrix, entries, mates, modulus)
         finite = pivots.where("row_d > col_d").select("group_id", F.lit(dim).alias("dim"), F.col("col_d").alias("birth"), F.col("row_d").alias("death"))
         open_columns = _anti(_anti(columns, pivots, "idx", "col"), dead, "idx", "idx")
