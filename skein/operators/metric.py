@@ -13,10 +13,13 @@ def euclidean(a: Column, b: Column) -> Column:
     """Scaled two-norm of a - b, m * sqrt(sum(((x - y) / m) ** 2)) with m the largest |x - y|, summed from the left:
     no overflow or underflow on the way, and the same bits on every engine that folds in order. Points without
     coordinates are at distance 0; a difference that overflows makes the distance infinite."""
-    gaps = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    m = F.coalesce(F.array_max(gaps), F.lit(0.0))
-    total = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g / m) * (g / m))
-    return F.when((m == 0) | (m == INF), m).otherwise(m * F.sqrt(total))
+    # Each step is bound by a lambda, so that it is computed once a pair and not once a coordinate.
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+
+    def norm(gaps: Column) -> Column:
+        return once(F.coalesce(F.array_max(gaps), F.lit(0.0)), lambda m: F.when((m == 0) | (m == INF), m).otherwise(m * F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g / m) * (g / m)))))
+
+    return once(F.zip_with(a, b, lambda x, y: F.abs(x - y)), norm)
 
 
 def pairwise(points: DataFrame) -> DataFrame:

@@ -63,34 +63,27 @@ def _components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return joins
 
 
-def _edge_matches(space: _Space, verts: np.ndarray, diameter: np.ndarray) -> np.ndarray:
-    """For edges sorted by diameter: the largest third vertex of a triangle as short as the edge; -1 if none. The
-    neighbours so far are one long integer a vertex."""
-    near, found, at = [0] * space.n, [-1] * len(verts), 0
-    pairs = verts.tolist()
+def _matches(n: int, edges: np.ndarray, lengths: np.ndarray, verts: np.ndarray, diameter: np.ndarray) -> np.ndarray:
+    """For each simplex the largest vertex that makes a cofacet as short as the simplex; -1 if none. Edges and
+    simplices are sorted by diameter; a vertex's neighbours up to the current diameter are one long integer."""
+    near, found, at = [0] * n, [-1] * len(verts), 0
     ends = np.flatnonzero(np.append(diameter[1:] != diameter[:-1], True)) + 1
-    for end in ends.tolist():
-        for a, b in pairs[at:end]:
+    upto = np.searchsorted(lengths, diameter[ends - 1], side="right")
+    pairs, rows, known = edges.tolist(), verts.tolist(), 0
+    for end, more in zip(ends.tolist(), upto.tolist(), strict=True):
+        for a, b in pairs[known:more]:
             near[a] |= 1 << b
             near[b] |= 1 << a
         for k in range(at, end):
-            a, b = pairs[k]
-            found[k] = (near[a] & near[b]).bit_length() - 1
-        at = end
+            first, *rest = rows[k]
+            common = near[first]
+            for v in rest:
+                common &= near[v]
+            found[k] = common.bit_length() - 1
+        at, known = end, more
     return np.array(found, np.int64)
 
 
-def _matches(space: _Space, verts: np.ndarray, diameter: np.ndarray) -> np.ndarray:
-    """The same for simplices of any dimension, in any order."""
-    out = np.full(len(verts), -1)
-    step = max(1, BLOCK // max(space.n, 1))
-    for k in range(0, len(verts), step):
-        even = space.reach(verts[k : k + step], diameter[k : k + step]) == diameter[k : k + step, None]
-        last = space.n - 1 - even[:, ::-1].argmax(1)
-        out[k : k + step] = np.where(even.any(1), last, -1)
-    return out
-
-
 def _apparent(space: _Space, verts: np.ndarray, diameter: np.ndarray, match: np.ndarray) -> np.ndarray:
     """Whether the simplex is also the matched cofacet's first facet of equal diameter: no facet without a vertex
     above the match is as long."""
@@ -123,19 +116,59 @@ def _cofacets_above(space: _Space, verts: np.ndarray, diameter: np.ndarray) -> t
 
 
 def _add(a: tuple, b: tuple, factor: int, modulus: int) -> tuple:
-    """a + factor * b over the field; columns are (indices, diameters, coefficients) by index."""
+    """a + factor * b over the field; columns are (indices, diameters, coefficients) by index, without coefficients
+    over Z/2."""
     index = np.concatenate([a[0], b[0]])
     order = np.argsort(index, kind="stable")
     index, diameter = index[order], np.concatenate([a[1], b[1]])[order]
-    coefficient = np.concatenate([a[2], b[2] * factor])[order]
     twin = np.flatnonzero(index[1:] == index[:-1])
+    keep = np.ones(len(index), bool)
+    keep[twin + 1] = False
+    if modulus == 2:
+        keep[twin] = False
+        return index[keep], diameter[keep], None
+    coefficient = np.concatenate([a[2], b[2] * factor])[order]
     coefficient[twin] += coefficient[twin + 1]
     coefficient %= modulus
-    keep = coefficient != 0
-    keep[twin + 1] = False
+    keep &= coefficient != 0
     return index[keep], diameter[keep], coefficient[keep]
 
 
+def point_distances(coords: np.ndarray) -> np.ndarray:
+    """All distances of points (rows) as the scaled two-norm, summed coordinate by coordinate from the left: the same
+    bits as the column expression gives."""
+    n = len(coords)
+    m = np.zeros((n, n))
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        for k in range(coords.shape[1]):
+            np.maximum(m, np.abs(coords[:, None, k] - coords[None, :, k]), out=m)
+        total, scale = np.zeros((n, n)), np.where((m == 0) | np.isinf(m), 1.0, m)
+        for k in range(coords.shape[1]):
+            g = np.abs(coords[:, None, k] - coords[None, :, k])
+            g /= scale
+            g *= g
+            total += g
+        return np.where((m == 0) | np.isinf(m), m, m * np.sqrt(total))
+
+
+def point_bars(coords: np.ndarray, max_dim: int, threshold: float | None = None, modulus: int = 2, apparent: bool = True, clearing: bool = True) -> list[tuple[int, float, float]]:
+    """Bars of a cloud, by default up to its enclosing radius."""
+    n = len(coords)
+    if n == 0:
+        return []
+    distance = point_distances(coords)
+    limit = float(distance.max(1).min()) if threshold is None else threshold
+    u, v = np.tril_indices(n, -1)
+    d = distance[u, v]
+    keep = (d <= limit) & (d < INF)
+    return rips_bars(n, u[keep], v[keep], d[keep], max_dim, modulus, apparent, clearing)
+
+
+def _column(space: _Space, verts: np.ndarray, diameter: float, modulus: int) -> tuple:
+    index, lengths, signs = space.coboundary(verts, diameter)
+    return index, lengths, None if modulus == 2 else signs % modulus
+
+
 def _pivot(column: tuple) -> int:
     return int(len(column[1]) - 1 - np.argmin(column[1][::-1]))
 
@@ -150,38 +183,40 @@ def rips_bars(n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray, max_dim: int,
     verts, diameter = verts[order], np.asarray(d, np.float64)[order]
     joins = _components(n, verts[:, 1], verts[:, 0])
     bars = [(0, 0.0, x) for x in diameter[joins].tolist() if x > 0] + [(0, 0.0, INF)] * (n - int(joins.sum()))
-    cleared = joins
+    cleared, edges, lengths = joins, verts, diameter
     for dim in range(1, max_dim + 1):
         if not len(verts):
             break
         index = space.rank(verts)
         use = ~cleared if clearing else np.ones(len(verts), bool)
-        match = (_edge_matches if dim == 1 else _matches)(space, verts, diameter) if apparent else np.full(len(verts), -1)
+        match = _matches(n, edges, lengths, verts, diameter) if apparent else np.full(len(verts), -1)
         first = _apparent(space, verts, diameter, match) & use
         partner = np.sort(np.concatenate([verts, match[:, None]], 1), 1)
-        mate = {int(t): k for k, t in zip(np.flatnonzero(first).tolist(), space.rank(partner[first]), strict=True)}
+        mates = space.rank(partner[first])  # of cofacets in apparent pairs, with their facets by the same order
+        order = np.argsort(mates)
+        mates, facets = mates[order], np.flatnonzero(first)[order]
         rest = np.flatnonzero(use & ~first)
         rest = rest[np.lexsort((index[rest], -diameter[rest]))]
         owner: dict[int, tuple] = {}
         for k in rest.tolist():
-            ids, lengths, signs = space.coboundary(verts[k], float(diameter[k]))
-            column = (ids, lengths, signs % modulus)
+            column = _column(space, verts[k], float(diameter[k]), modulus)
             while len(column[0]):
                 at = _pivot(column)
                 pivot = int(column[0][at])
                 if pivot in owner:
                     other = owner[pivot]
-                elif pivot in mate:
-                    m = mate[pivot]
-                    ids, lengths, signs = space.coboundary(verts[m], float(diameter[m]))
-                    other = (ids, lengths, signs % modulus)
+                elif (m := int(np.searchsorted(mates, pivot))) < len(mates) and mates[m] == pivot:
+                    other = _column(space, verts[facets[m]], float(diameter[facets[m]]), modulus)
                 else:
                     owner[pivot] = column
                     if column[1][at] > diameter[k]:
                         bars.append((dim, float(diameter[k]), float(column[1][at])))
                     break
-                lead = int(other[2][np.searchsorted(other[0], pivot)])
-                column = _add(column, other, -int(column[2][at]) * pow(lead, -1, modulus) % modulus, modulus)
+                factor = 1
+                if modulus > 2:
+                    lead = int(other[2][np.searchsorted(other[0], pivot)])
+                    factor = -int(column[2][at]) * pow(lead, -1, modulus) % modulus
+                column = _add(column, other, factor, modulus)
             else:
                 if not cleared[k]:
                     bars.append((dim, float(diameter[k]), INF))
@@ -189,6 +224,5 @@ def rips_bars(n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray, max_dim: int,
             verts, diameter = _cofacets_above(space, verts, diameter)
             order = np.lexsort((-space.rank(verts), diameter))
             verts, diameter = verts[order], diameter[order]
-            dead = np.array([*owner, *mate], np.int64)
-            cleared = np.isin(space.rank(verts), dead)
+            cleared = np.isin(space.rank(verts), np.concatenate([np.array([*owner], np.int64), mates]))
     return bars

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.operators.metric import INF, enclosing_radius, within
 from skein.params import InvalidInput, RipsParams, checked_dim
-from skein.plans.kernel import rips_bars
+from skein.plans.kernel import point_bars, rips_bars
 from skein.plans.rounds import rips_rounds
 
 #: Largest group, by points and by edges in the complex, that one task takes; larger ones are reduced in rounds.
@@ -26,6 +26,8 @@ class MetricSpace:
     vertices: DataFrame
     edges: DataFrame
     kind: str = "dense"
+    #: Of spaces of points: group_id, id and coords, from which one task can get its group's distances.
+    points: DataFrame | None = None
 
     def n(self) -> DataFrame:
         return self.vertices.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
@@ -54,19 +56,49 @@ def rips_persistence(space: MetricSpace, params: RipsParams | None = None, engin
         raise InvalidInput(f"engine must be auto, kernel or rounds, got {engine}")
     largest = space.n().agg(F.max("n")).first()[0] or 0
     top = checked_dim(largest, params.max_dim, params.modulus)
-    edges = space.in_complex(params.threshold)
     if engine == "rounds":
-        return _rounds(space.vertices, edges, top, params)
-    if engine == "kernel":
-        return _kernel(space.vertices, edges, top, params)
-    size = space.n().withColumnRenamed("n", "size")
-    count = edges.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_edges")).withColumnRenamed("group_id", "_g")
-    large = size.join(count, F.col("group_id").eqNullSafe(F.col("_g")), "left").where((F.col("size") > KERNEL_POINTS) | (F.col("n_edges") > KERNEL_EDGES)).select(F.col("group_id").alias("_h"))
-    if largest <= KERNEL_POINTS or not large.limit(1).count():
-        return _kernel(space.vertices, edges, top, params)
-    of = lambda df, how: df.join(large, F.col("group_id").eqNullSafe(F.col("_h")), how)
-    small = _kernel(of(space.vertices, "left_anti"), of(edges, "left_anti"), top, params)
-    return small.unionByName(_rounds(of(space.vertices, "left_semi"), of(edges, "left_semi"), top, params))
+        return _rounds(space.vertices, space.in_complex(params.threshold), top, params)
+    if space.points is not None:
+        if engine == "kernel" or largest <= KERNEL_POINTS:
+            return _point_kernel(space.points, top, params)
+        large = space.n().where(F.col("n") > KERNEL_POINTS).select(F.col("group_id").alias("_h"))
+        small = _point_kernel(_of(space.points, large, "left_anti"), top, params)
+    else:
+        edges = space.in_complex(params.threshold)
+        if engine == "kernel":
+            return _kernel(space.vertices, edges, top, params)
+        count = edges.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_edges")).withColumnRenamed("group_id", "_g")
+        sized = space.n().join(count, F.col("group_id").eqNullSafe(F.col("_g")), "left")
+        large = sized.where((F.col("n") > KERNEL_POINTS) | (F.col("n_edges") > KERNEL_EDGES)).select(F.col("group_id").alias("_h"))
+        if largest <= KERNEL_POINTS or not large.limit(1).count():
+            return _kernel(space.vertices, edges, top, params)
+        small = _kernel(_of(space.vertices, large, "left_anti"), _of(edges, large, "left_anti"), top, params)
+    rest = MetricSpace(_of(space.vertices, large, "left_semi"), _of(space.edges, large, "left_semi"), space.kind)
+    return small.unionByName(_rounds(rest.vertices, rest.in_complex(params.threshold), top, params))
+
+
+def _of(df: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """The rows whose group is, or is not, among the groups (_h)."""
+    return df.join(groups, F.col("group_id").eqNullSafe(F.col("_h")), how)
+
+
+def _frame(key: object, bars: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(sorted(bars), columns=["dim", "birth", "death"]).astype({"dim": "int32", "birth": "float64", "death": "float64"})
+    out.insert(0, "group_id", [key] * len(out))
+    return out
+
+
+def _point_kernel(points: DataFrame, top: int, params: RipsParams) -> DataFrame:
+    """Only the points are dealt to tasks, not their pairs."""
+    threshold, modulus, apparent, clearing = params.threshold, params.modulus, params.use_apparent_pairs, params.use_clearing
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        coords = np.array(rows["coords"].tolist(), np.float64).reshape(len(rows), -1)
+        return _frame(key[0], point_bars(coords, min(top, len(rows) - 1), threshold, modulus, apparent, clearing))
+
+    kind = points.schema["group_id"].dataType.simpleString()
+    return points.groupBy("group_id").applyInPandas(run, f"group_id {kind}, dim int, birth double, death double")
 
 
 def _rounds(vertices: DataFrame, edges: DataFrame, top: int, params: RipsParams) -> DataFrame:
@@ -80,11 +112,7 @@ def _kernel(vertices: DataFrame, edges: DataFrame, top: int, params: RipsParams)
         point = rows["d"].isna().to_numpy()
         ids, pairs = np.sort(rows["u"].to_numpy()[point]), rows[~point]
         u, v = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("u", "v"))
-        bars = rips_bars(len(ids), u, v, pairs["d"].to_numpy(), min(top, max(len(ids) - 1, 0)), modulus, apparent, clearing)
-        bars.sort()
-        out = pd.DataFrame(bars, columns=["dim", "birth", "death"]).astype({"dim": "int32", "birth": "float64", "death": "float64"})
-        out.insert(0, "group_id", [key[0]] * len(out))
-        return out
+        return _frame(key[0], rips_bars(len(ids), u, v, pairs["d"].to_numpy(), min(top, max(len(ids) - 1, 0)), modulus, apparent, clearing))
 
     kind = vertices.schema["group_id"].dataType.simpleString()
     points = vertices.select("group_id", F.col("id").alias("u"), F.col("id").alias("v"), F.lit(None).cast("double").alias("d"))

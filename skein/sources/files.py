@@ -83,7 +83,7 @@ def read_point_cloud(spark: SparkSession, path: str) -> MetricSpace:
     numbers = {r.no: k for k, r in enumerate(points.select("no").orderBy("no").collect())}
     ids = spark.createDataFrame(list(numbers.items()), "no long, id long") if numbers else spark.createDataFrame([], "no long, id long")
     frame = points.join(ids, "no").select(F.lit(ALONE).cast("long").alias("group_id"), "id", "coords")
-    return MetricSpace(frame.select("group_id", "id"), pairwise(frame), "dense")
+    return MetricSpace(frame.select("group_id", "id"), pairwise(frame), "dense", frame)
 
 
 def _stream(rows: DataFrame) -> DataFrame:

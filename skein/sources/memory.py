@@ -42,7 +42,7 @@ def from_points(spark: SparkSession, points: Sequence[Sequence[float]]) -> Metri
     rows = [[float(x) for x in p] for p in points]
     check_points(rows)
     frame = spark.createDataFrame([(ALONE, k, row) for k, row in enumerate(rows)], T.StructType([*keyed(VERTICES, _LONG).fields, T.StructField("coords", T.ArrayType(T.DoubleType(), False))]))
-    return MetricSpace(frame.select("group_id", "id"), pairwise(frame), "dense")
+    return MetricSpace(frame.select("group_id", "id"), pairwise(frame), "dense", frame)
 
 
 def size_of_condensed(m: int) -> int:
@@ -106,7 +106,7 @@ def from_point_frame(points: DataFrame, group: str, point: str, coords: str) ->
         what = "a null or non-finite coordinate" if faulty[0].bad else "points of different dimensions"
         raise InvalidInput(f"group {faulty[0].group_id} has {what}")
     frame = rows.select("group_id", (F.row_number().over(Window.partitionBy("group_id").orderBy("point")) - 1).cast("long").alias("id"), "coords")
-    return MetricSpace(frame.select("group_id", "id"), pairwise(frame), "dense")
+    return MetricSpace(frame.select("group_id", "id"), pairwise(frame), "dense", frame)
 
 
 def from_edge_frame(vertices: DataFrame, edges: DataFrame) -> MetricSpace:
