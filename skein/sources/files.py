@@ -117,8 +117,8 @@ def read_sparse(spark: SparkSession, path: str) -> MetricSpace:
     """Lines `i j d`; the number of points is one more than the largest vertex."""
     rows = lines(spark, path)
     t = F.col("tokens")
-    huge = lambda k: F.get(t, F.lit(k)).try_cast("decimal(38,0)") >= LAST_VERTEX
-    over = lambda k: F.get(t, F.lit(k)).try_cast("decimal(38,0)") > LAST_VERTEX
+    huge = lambda k: F.get(t, F.lit(k)).try_cast("decimal(38,0)") >= F.lit(str(LAST_VERTEX)).cast("decimal(38,0)")
+    over = lambda k: F.get(t, F.lit(k)).try_cast("decimal(38,0)") > F.lit(str(LAST_VERTEX)).cast("decimal(38,0)")
     vertex = lambda k: F.get(t, F.lit(k)).rlike(VERTEX) & ~F.coalesce(over(k), F.lit(True))
     fault = (
         F.when(F.size("tokens") != 3, F.concat(F.lit("expected 'i j d', got "), F.size("tokens").cast("string"), F.lit(" fields")))

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir or, where it is unset, in local runs, a temporary folder of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _temporary.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skein-"))
+    return folder.rstrip("/")
+
+
+_temporary: dict[str, str] = {}
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and read back from spark.checkpoint.dir (where unset, in local runs, a temporary folder)."""
+    """df computed once, written as a table to the shared folder and read back. A written table has the size it has;
+    a checkpoint would keep the estimates of the plan before it, which grow without bound from round to round."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
