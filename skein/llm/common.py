@@ -59,6 +59,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written as a table to the shared folder and read back, for loops: a written table has the size it has,
+    while a checkpoint keeps the estimates of the plan before it, which grow from round to round."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a URI (file, hdfs, s3, gs) and the path in it; works on executors."""
     from pyarrow import fs
