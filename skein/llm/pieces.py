@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces kept by a worker; beyond it the store starts anew, which changes no result.
-MOST_PIECES = 700_000
+MOST_PIECES = 500_000
 
 
 def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,5 +69,5 @@ class Pieces:
 
 def by_text(ids: np.ndarray, size: np.ndarray, pieces_of: list[int]) -> list[np.ndarray]:
     """Cuts flat ids into texts, given the number of pieces of each text."""
-    ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(pieces_of)]
+    ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(np.asarray(pieces_of, np.int64))]
     return np.split(ids, ends[:-1]) if len(ends) else []
