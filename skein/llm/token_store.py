@@ -30,9 +30,9 @@ from skein.llm.wavelet import WaveletMatrix
 END_ID = 1
 #: Bytes of text dealt to one writer, and ids after which it begins a new file.
 SHARD_BYTES = 24 << 20
-SHARD_IDS = 12 << 20
+SHARD_IDS = 8 << 20
 #: Bytes of text encoded together, so that a word is looked up once for many documents.
-ENCODE_BYTES = 12 << 20
+ENCODE_BYTES = 8 << 20
 #: Words, and pieces that aren't letters and marks, that a worker keeps with their ids.
 MOST_WORDS, MOST_OTHERS = 1_000_000, 200_000
 
@@ -106,7 +106,7 @@ class WordBpe:
         """The ids (uint32) of each text of a string array without nulls."""
         odd = [self._odd(x) for x in texts.to_pylist()] if self._any_odd(texts) else [False] * len(texts)
         plain = texts.filter(pa.array([not x for x in odd])) if any(odd) else texts
-        split = pc.split_pattern(pc.ascii_lower(plain), " ")
+        split = pc.split_pattern(pc.replace_substring(pc.ascii_lower(plain), "\n", " "), " ")
         found = iter(by_text(*self._pieces(split.flatten()), pc.list_value_length(split).to_numpy().tolist()))
         return [self._ask([texts[k].as_py()])[0] if strange else next(found) for k, strange in enumerate(odd)]
 
@@ -168,7 +168,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, text: st
             nonlocal held
             found = bpe.encode(pa.concat_arrays([b.column(1) for b in waiting]))
             own = [len(x) + 1 for x in found]
-            ids.append(np.concatenate([y for x in found for y in (x, end)]))
+            ids.append(np.concatenate([y for x in found for y in (x, end)]).astype(np.uint16 if bpe.bits <= 16 else np.uint32))
             names.extend(b.column(0) for b in waiting)
             counts.extend(own)
             held += sum(own)
