@@ -224,30 +224,45 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
 
 
 def _filtered(docs: DataFrame, benchmark: DataFrame, window: int, text: str, limits: tuple[int, float] | None) -> DataFrame:
+    """One pass an automaton over whole rows; spans found so far travel in a column of their own, and the last pass
+    judges. A worker holds one automaton at a time."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    at, out = docs.columns.index(text), docs
-    # Whether a row is over the limits depends on all its hits: with several automata each pass keeps its spans.
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, "text", "item_id")]
-
-    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            keep, bodies = [], []
-            for body in texts(batch.column(at)):
-                document = words(body)
-                spans = _merged([tuple(x) for a in shared for x in a.value.hits(document)[0]])
-                hit = sum(x["end"] - x["start"] for x in spans)
-                if limits is None:
-                    keep.append(not (hit and MOST_CLEAN * hit >= len(document)))
-                else:
-                    keep.append(not (hit and hit >= limits[1] * len(document)))
-                    bodies.append(_without(body, [x for x in spans if x["end"] - x["start"] >= limits[0]]))
-            if limits is not None:
-                whole = pa.array([b.decode() if x else None for b, x in zip(bodies, batch.column(at).is_valid().to_pylist(), strict=True)], pa.string())
-                batch = batch.set_column(at, batch.schema.field(at).name, whole)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return out.mapInArrow(scan, docs.schema)
+    at, column = docs.columns.index(text), "_spans"
+    while column in docs.columns:
+        column += "_"
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    found = docs.withColumn(column, F.lit(None).cast(_SPANS))
+    parts = automata(benchmark, window, "text", "item_id")
+    now = next(parts)
+    while now is not None:
+        after = next(parts, None)
+        shared, last = spark.sparkContext.broadcast(now), after is None
+
+        def scan(rows: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                bodies = texts(batch.column(at))
+                listed = [words(body) for body in bodies]
+                before = batch.column(batch.num_columns - 1).to_pylist()
+                spans = [_merged([*((x["start"], x["end"]) for x in old or ()), *map(tuple, shared.value.hits(w)[0])]) for w, old in zip(listed, before, strict=True)]
+                plain = batch.select(range(batch.num_columns - 1))
+                yield _judged(plain, bodies, [len(w) for w in listed], spans, at, limits) if last else plain.append_column(column, pa.array(spans, kind))
+
+        found = found.mapInArrow(scan, docs.schema if last else found.schema)
+        now, found = after, found if last else cut(found)
+    return found
+
+
+def _judged(batch: pa.RecordBatch, bodies: list[bytes], sizes: list[int], spans: list[list[dict]], at: int, limits: tuple[int, float] | None) -> pa.RecordBatch:
+    hits = [sum(x["end"] - x["start"] for x in own) for own in spans]
+    if limits is None:
+        keep = [not (hit and MOST_CLEAN * hit >= n) for hit, n in zip(hits, sizes, strict=True)]
+    else:
+        keep = [not (hit and hit >= limits[1] * n) for hit, n in zip(hits, sizes, strict=True)]
+        there = batch.column(at).is_valid().to_pylist()
+        left = [_without(b, [x for x in own if x["end"] - x["start"] >= limits[0]]).decode() if x else None for b, own, x in zip(bodies, spans, there, strict=True)]
+        batch = batch.set_column(at, batch.schema.field(at).name, pa.array(left, pa.string()))
+    return batch.filter(pa.array(keep, pa.bool_()))
 
 
 def _without(body: bytes, spans: list[dict[str, int]]) -> bytes:

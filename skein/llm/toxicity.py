@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import arrow_batches, fold, strings, table
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their identifiers.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 4000
 #: Lengths of prefixes that are features beside the whole word, and buckets that features are hashed to.
 PREFIXES, BUCKETS = (3, 4, 5), 1 << 20
 #: Steps, rate and momentum of training; a feature must pull by more than SHRINK documents to leave zero, and moves
@@ -31,7 +31,7 @@ STEPS, RATE, MOMENTUM, SHRINK, RARE = 200, 0.3, 0.9, 0.5, 0.01
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Words whose weights a worker keeps.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
