@@ -48,9 +48,8 @@ def suppliers(spark: SparkSession, sf_dir: str) -> MetricSpace:
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
     other = lines.select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"))
     pairs = lines.join(other, (F.col("l_orderkey") == F.col("o")) & (F.col("l_suppkey") > F.col("s"))).groupBy("l_suppkey", "s").count()
-    # Keys are numbered from 1; vertices from 0.
-    edges = pairs.select(F.lit(0).cast("long").alias("group_id"), (F.col("l_suppkey") - 1).cast("long").alias("i"), (F.col("s") - 1).cast("long").alias("j"), (1.0 / F.col("count")).alias("d"))
-    vertices = _table(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("group_id"), (F.col("s_suppkey") - 1).cast("long").alias("id"))
+    edges = pairs.select(F.lit(0).cast("long").alias("group_id"), F.col("l_suppkey").cast("long").alias("i"), F.col("s").cast("long").alias("j"), (1.0 / F.col("count")).alias("d"))
+    vertices = _table(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("group_id"), F.col("s_suppkey").cast("long").alias("id"))
     return memory.from_edge_frame(vertices, edges)
 
 
@@ -267,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
         "adjacency": f"""WITH {_KNN}, b AS (SELECT group_id, u AS id, v AS n FROM e UNION ALL SELECT group_id, v, u FROM e)
             SELECT group_id, id, count(*) AS degree, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS neighbours FROM b GROUP BY 1, 2""",
         "supplier_pairs": """WITH l AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem)
-            SELECT CAST(a.s - 1 AS BIGINT) AS u, CAST(b.s - 1 AS BIGINT) AS v, 1.0::DOUBLE / count(*) AS d FROM l a JOIN l b ON a.o = b.o AND a.s > b.s GROUP BY 1, 2""",
+            SELECT CAST(a.s AS BIGINT) AS u, CAST(b.s AS BIGINT) AS v, 1.0::DOUBLE / count(*) AS d FROM l a JOIN l b ON a.o = b.o AND a.s > b.s GROUP BY 1, 2""",
         "simplex_counts": f"""WITH {_TETRA} SELECT group_id, 0 AS dim, count(*) AS n_simplices FROM p GROUP BY 1 UNION ALL SELECT group_id, 1, count(*) FROM edge GROUP BY 1
             UNION ALL SELECT group_id, 2, count(*) FROM tri GROUP BY 1 UNION ALL SELECT group_id, 3, count(*) FROM tet GROUP BY 1""",
         "simplex_ranks": f"WITH {_TRIANGLES} SELECT group_id, idx, d AS diameter, concat_ws(',', a, b, c) AS verts, concat_ws(',', a, b, c) AS unranked FROM tri",
