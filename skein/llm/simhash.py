@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_batches, cut, lookup, table, texts
 from skein.llm.components import components
+from skein.llm.similar import keep_one, with_rows
 
 #: Words of a shingle, seed of its hash, and most differing bits of a link.
 SHINGLE, SEED, BITS = 4, 42, 4
@@ -142,14 +143,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay: of each group that with the smallest identifier, columns as they are.
-
-    For tables whose identifiers are unique. Rows with null identifiers stay only if no other row is in the group,
-    all of them."""
-    found = cut(near_groups(docs, text, doc_id))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    few = gone.limit(50_001).count() <= 50_000
-    return docs.join(F.broadcast(gone) if few else gone, docs[doc_id].eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs that stay, columns as they are: of each group one, as keep_one() has it. Rows are told apart by
+    number, so null and repeated identifiers and repeated rows do no harm."""
+    docs, row = with_rows(docs)
+    found = near_groups(docs, text, row)
+    return keep_one(docs, row, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), text, doc_id)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
