@@ -219,5 +219,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     # Identifiers go round the operator, not into it: scores are of texts alone.
-    found = score(docs, model).select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "tox_score")).alias("score"))
-    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    found = score(docs, model, locate=True).select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "tox_score")).alias("score"), "tox_sentences")
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "tox_sentences")
