@@ -1,8 +1,9 @@
 r"""Secret scans: fixed patterns, and a randomness test battery over tokens of an inferred encoding. DataFrame
 operations only.
 
-Candidates are maximal runs of [A-Za-z0-9+/_=-] of LEAST_TOKEN characters or more with a digit and a letter. A
-candidate's encoding is the smallest of hex, base32, base36 (lower or upper case), base62, base64 and base64url
+Candidates are maximal runs of [A-Za-z0-9+/] or of [A-Za-z0-9_-], with = only as padding at the end, of LEAST_TOKEN
+characters or more with a digit and a letter; so a value after = is tested by itself. A run within one of the other
+kind isn't a candidate of its own; runs of the two kinds that merely overlap both are. A candidate's encoding is the smallest of hex, base32, base36 (lower or upper case), base62, base64 and base64url
 whose alphabet it keeps to. Under "each symbol is drawn alike and independently" three tests are made of it:
 chi-squared uniformity over the alphabet, runs above and below the alphabet's middle, and serial correlation. Their
 p-values are combined by Fisher's method. A document's candidates are a family: those that the Benjamini-Hochberg
@@ -30,7 +31,20 @@ KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the battery, and the level of its false-discovery control.
 LEAST_TOKEN, DISCOVERY = 20, 0.2
 _RUN = "A-Za-z0-9+/_=-"
-CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[{_RUN}]{{{LEAST_TOKEN},}}"
+
+
+def _candidate(signs: str, others: str) -> str:
+    """Maximal runs of letters, digits and `signs`, with = at their end."""
+    own = f"A-Za-z0-9{signs}"
+    return rf"(?<![{own}])(?=[A-Za-z{signs}]*[0-9])(?=[0-9{signs}]*[A-Za-z]){others}(?:[{own}]{{{LEAST_TOKEN},}}(?:=+(?![{_RUN}]))?|(?=[={own}]{{{LEAST_TOKEN}}})[{own}]++=+(?![{_RUN}]))"
+
+
+#: Runs of base64's symbols with one of its signs, or with no sign of either kind in or beside them; and runs of
+#: base64url's with one of its signs.
+CANDIDATES = (
+    _candidate("+/", "(?:(?=[A-Za-z0-9]*[+/])|(?<![_-])(?=[A-Za-z0-9]+(?![A-Za-z0-9_-])))"),
+    _candidate("_-", "(?=[A-Za-z0-9]*[_-])"),
+)
 
 _LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings from the smallest alphabet on: what a token (without = at its end) must match, and the alphabet.
@@ -164,7 +178,7 @@ def _random_tokens(text: Column) -> list:
     below = F.filter(F.sequence(F.lit(1), F.size("_c")), lambda k: F.element_at(c("_c"), k)["p"] <= DISCOVERY * k / F.size("_c"))
     rejected = F.coalesce(F.array_max(below), F.lit(0))
     return [
-        ("_c", _spans(text, CANDIDATE, 0)),
+        ("_c", F.concat(*[_spans(text, pattern, 0) for pattern in CANDIDATES])),
         ("_c", F.transform("_c", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _codes(t["s"]).alias("codes")))),
         ("_c", F.transform(F.filter("_c", lambda t: t["codes"].isNotNull() & (F.size(t["codes"]["x"]) >= 2)), tested)),
         ("_c", F.transform("_c", judged)),
@@ -228,7 +242,7 @@ def brute_force(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
         base += [(*m.span(), kind) for m in pattern.finditer(text) if ok(m)]
     tail = lambda z: math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (t := 1 / (1 + 0.2316419 * z)) * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     tokens = []
-    for m in re.finditer(CANDIDATE, text):
+    for m in (m for pattern in CANDIDATES for m in re.finditer(pattern, text)):
         bare = m[0].rstrip("=")
         alphabet = next((a for pattern, a in ENCODINGS if re.match(pattern, bare)), None)
         if alphabet is None or len(bare) < 2:
