@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,9 +14,11 @@ from skein.operators.metric import INF, enclosing_radius, within
 from skein.params import InvalidInput, RipsParams, checked_dim
 from skein.plans.kernel import point_bars, rips_bars
 from skein.plans.rounds import rips_rounds
+from skein.storage import cut
 
-#: Largest group, by points and by edges in the complex, that one task takes; larger ones are reduced in rounds.
-KERNEL_POINTS, KERNEL_EDGES = 3000, 5_000_000
+#: Largest group that one task takes, by points, by edges in the complex and by what its simplices of the highest
+#: dimension may come to; larger ones are reduced in rounds.
+KERNEL_POINTS, KERNEL_EDGES, KERNEL_SIMPLICES = 3000, 5_000_000, 40_000_000
 
 
 @dataclass(frozen=True)
@@ -54,27 +57,44 @@ def rips_persistence(space: MetricSpace, params: RipsParams | None = None, engin
     params = (params or RipsParams()).validate()
     if engine not in ("auto", "kernel", "rounds"):
         raise InvalidInput(f"engine must be auto, kernel or rounds, got {engine}")
-    largest = space.n().agg(F.max("n")).first()[0] or 0
+    sizes = space.n()
+    largest = sizes.agg(F.max("n")).first()[0] or 0
     top = checked_dim(largest, params.max_dim, params.modulus)
     if engine == "rounds":
-        return _rounds(space.vertices, space.in_complex(params.threshold), top, params)
+        return _rounds(space, top, params)
+    most = _most_points(top)
     if space.points is not None:
-        if engine == "kernel" or largest <= KERNEL_POINTS:
+        if engine == "kernel" or largest <= most:
             return _point_kernel(space.points, top, params)
-        large = space.n().where(F.col("n") > KERNEL_POINTS).select(F.col("group_id").alias("_h"))
+        large = sizes.where(F.col("n") > most).select(F.col("group_id").alias("_h"))
         small = _point_kernel(_of(space.points, large, "left_anti"), top, params)
     else:
         edges = space.in_complex(params.threshold)
-        if engine == "kernel":
+        if engine == "kernel" or largest <= min(most, _points_of_edges()):
             return _kernel(space.vertices, edges, top, params)
         count = edges.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_edges")).withColumnRenamed("group_id", "_g")
-        sized = space.n().join(count, F.col("group_id").eqNullSafe(F.col("_g")), "left")
-        large = sized.where((F.col("n") > KERNEL_POINTS) | (F.col("n_edges") > KERNEL_EDGES)).select(F.col("group_id").alias("_h"))
-        if largest <= KERNEL_POINTS or not large.limit(1).count():
+        sized = sizes.join(count, F.col("group_id").eqNullSafe(F.col("_g")), "left")
+        # m edges have at most (2 m) ** (k / 2) / k! cliques of k vertices.
+        cliques = F.pow(2.0 * F.col("n_edges"), F.lit((top + 1) / 2)) / math.factorial(top + 1)
+        large = cut(sized.where((F.col("n") > KERNEL_POINTS) | (F.col("n_edges") > KERNEL_EDGES) | (cliques > KERNEL_SIMPLICES)).select(F.col("group_id").alias("_h")))
+        if not large.limit(1).count():
             return _kernel(space.vertices, edges, top, params)
         small = _kernel(_of(space.vertices, large, "left_anti"), _of(edges, large, "left_anti"), top, params)
-    rest = MetricSpace(_of(space.vertices, large, "left_semi"), _of(space.edges, large, "left_semi"), space.kind)
-    return small.unionByName(_rounds(rest.vertices, rest.in_complex(params.threshold), top, params))
+    points = None if space.points is None else _of(space.points, large, "left_semi")
+    rest = MetricSpace(_of(space.vertices, large, "left_semi"), _of(space.edges, large, "left_semi"), space.kind, points)
+    return small.unionByName(_rounds(rest, top, params))
+
+
+def _most_points(top: int) -> int:
+    """Points that one task takes, by the simplices of the highest dimension (of two vertices or more) among them."""
+    n = KERNEL_POINTS
+    while top > 1 and n > 2 and math.comb(n, top + 1) > KERNEL_SIMPLICES:
+        n -= max(1, n // 64)
+    return n
+
+
+def _points_of_edges() -> int:
+    return (1 + math.isqrt(1 + 8 * KERNEL_EDGES)) // 2
 
 
 def _of(df: DataFrame, groups: DataFrame, how: str) -> DataFrame:
@@ -90,29 +110,34 @@ def _frame(key: object, bars: list[tuple]) -> pd.DataFrame:
 
 def _point_kernel(points: DataFrame, top: int, params: RipsParams) -> DataFrame:
     """Only the points are dealt to tasks, not their pairs."""
-    threshold, modulus, apparent, clearing = params.threshold, params.modulus, params.use_apparent_pairs, params.use_clearing
+    threshold, modulus, toggles = params.threshold, params.modulus, _toggles(params)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         coords = np.array(rows["coords"].tolist(), np.float64).reshape(len(rows), -1)
-        return _frame(key[0], point_bars(coords, min(top, len(rows) - 1), threshold, modulus, apparent, clearing))
+        return _frame(key[0], point_bars(coords, min(top, len(rows) - 1), threshold, modulus, **toggles))
 
     kind = points.schema["group_id"].dataType.simpleString()
     return points.groupBy("group_id").applyInPandas(run, f"group_id {kind}, dim int, birth double, death double")
 
 
-def _rounds(vertices: DataFrame, edges: DataFrame, top: int, params: RipsParams) -> DataFrame:
-    return rips_rounds(vertices, edges, top, params.modulus, params.use_apparent_pairs, params.use_clearing)
+def _toggles(params: RipsParams) -> dict[str, bool]:
+    return {"apparent_pairs": params.use_apparent_pairs, "clearing": params.use_clearing, "emergent": params.use_emergent_pairs}
+
+
+def _rounds(space: MetricSpace, top: int, params: RipsParams) -> DataFrame:
+    edges = space.in_complex(params.threshold) if space.points is None else None
+    return rips_rounds(space.vertices, None if edges is None else cut(edges), space.points, top, params.threshold, params.modulus, *_toggles(params).values(), params.threads)
 
 
 def _kernel(vertices: DataFrame, edges: DataFrame, top: int, params: RipsParams) -> DataFrame:
-    modulus, apparent, clearing = params.modulus, params.use_apparent_pairs, params.use_clearing
+    modulus, toggles = params.modulus, _toggles(params)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         point = rows["d"].isna().to_numpy()
         ids, pairs = np.sort(rows["u"].to_numpy()[point]), rows[~point]
         u, v = (np.searchsorted(ids, pairs[c].to_numpy()) for c in ("u", "v"))
-        return _frame(key[0], rips_bars(len(ids), u, v, pairs["d"].to_numpy(), min(top, max(len(ids) - 1, 0)), modulus, apparent, clearing))
+        return _frame(key[0], rips_bars(len(ids), u, v, pairs["d"].to_numpy(), min(top, max(len(ids) - 1, 0)), modulus, **toggles))
 
     kind = vertices.schema["group_id"].dataType.simpleString()
     points = vertices.select("group_id", F.col("id").alias("u"), F.col("id").alias("v"), F.lit(None).cast("double").alias("d"))

@@ -1,11 +1,14 @@
-"""Cutting the lineage of iterative stages through the folder that all executors share."""
+"""The folder that driver and all executors share: tables that cut lineage, and files."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_temporary: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,13 +22,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_temporary: dict[str, str] = {}
+def fresh(spark: SparkSession, name: str = "table") -> str:
+    """A fresh folder name in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once, written as a table to the shared folder and read back. A written table has the size it has;
     a checkpoint would keep the estimates of the plan before it, which grow without bound from round to round."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, fresh(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def part_of_group() -> Column:
+    """The number that a group's rows are filed under."""
+    return F.xxhash64("group_id")
+
+
+def stored_by_group(df: DataFrame) -> str:
+    """The folder of a table whose rows are filed by group, for tasks that read one group's rows by themselves."""
+    path = fresh(df.sparkSession)
+    df.withColumn("_part", part_of_group()).write.partitionBy("_part").parquet(path)
+    return path
+
+
+def filesystem(uri: str):
+    """The pyarrow file system of a URI (file, hdfs, s3, gs) and the path in it; works on executors."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)

@@ -11,6 +11,7 @@ from skein.operators import combinadic, complexes, metric
 from skein.oracle import rips_persistence_oracle
 from skein.params import RipsParams
 from skein.plans.rips import MetricSpace, rips_persistence
+from skein.queries import PROJECTIVE_PLANE
 from skein.sources import memory
 from skein.streaming.diagrams import diagrams_of_batches
 
@@ -52,14 +53,31 @@ def test_engines_match_brute_force(spark, engine, modulus, threshold):
 
 
 def test_rounds_without_shortcuts_and_on_torsion(spark):
-    plane = [float(c) for row in "1 12 122 1222 11212 121212 1122122 12112222 211221111 2222211221 22222221112 222111111211".split() for c in row]
-    space = memory.from_condensed(spark, plane)
-    for modulus, expected in ((2, [(1, 1.0, 2.0), (2, 1.0, 2.0)]),):
+    space = memory.from_condensed(spark, [float(c) for c in PROJECTIVE_PLANE])
+    for modulus, expected in ((2, [(1, 1.0, 2.0), (2, 1.0, 2.0)]), (3, [])):
         bars = rips_persistence(space, RipsParams(max_dim=2, modulus=modulus), "rounds")
         assert [b for b in by_group(bars, 1)[0] if b[0]] == expected
     spaces = random_spaces(8, 6, [1, 2], 5)
-    off = RipsParams(max_dim=2, use_apparent_pairs=False, use_clearing=False)
-    assert by_group(rips_persistence(grouped(spark, spaces), off, "rounds"), 6) == [rips_persistence_oracle(m, 2) for m in spaces]
+    for off in (RipsParams(max_dim=2, use_apparent_pairs=False, use_clearing=False), RipsParams(max_dim=2, use_emergent_pairs=False, threads=3), RipsParams(max_dim=2, use_apparent_pairs=False)):
+        assert by_group(rips_persistence(grouped(spark, spaces), off, "rounds"), 6) == [rips_persistence_oracle(m, 2) for m in spaces]
+
+
+def test_rounds_of_points_in_several_blocks_and_parts(spark, monkeypatch):
+    """Groups with text, null and repeated numbers of points; columns dealt to many blocks, forests merged twice."""
+    import skein.plans.rounds as plan
+
+    monkeypatch.setattr(plan, "COLUMNS", 4)
+    monkeypatch.setattr(plan, "PAIRS", 60)
+    monkeypatch.setattr(plan, "FAN_IN", 2)
+    draw = random.Random(6)
+    rows = [(g, k, [draw.random() for _ in range(2)]) for g, n in (("a", 24), (None, 12), ("c", 1)) for k in range(n)]
+    for frame in (spark.createDataFrame(rows, "g string, p long, c array<double>"), spark.createDataFrame([(None if g is None else len(g + g), k, c) for g, k, c in rows if g != "c"], "g long, p long, c array<double>")):
+        space = memory.from_point_frame(frame, "g", "p", "c")
+        params = RipsParams(max_dim=1) if "c" in {r[0] for r in frame.select("g").collect()} else RipsParams(max_dim=2, threshold=0.4, modulus=3)
+        assert diagrams.same_diagrams(rips_persistence(space, params, "rounds"), rips_persistence(space, params, "kernel"))
+    edges = metric.knn_graph(space.edges, 6)
+    sparse = MetricSpace(space.vertices, edges, "sparse")
+    assert diagrams.same_diagrams(rips_persistence(sparse, RipsParams(max_dim=2), "rounds"), rips_persistence(sparse, RipsParams(max_dim=2), "kernel"))
 
 
 def test_partitions_and_row_order_change_nothing(spark):

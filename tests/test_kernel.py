@@ -10,11 +10,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skein.oracle import rips_persistence_oracle
-from skein.plans.kernel import point_bars, point_distances, rips_bars
+from skein.plans.kernel import Dense, point_bars, point_distances, rips_bars
+from skein.plans.spaces import Cloud, Listed, Matrix
+from skein.queries import PROJECTIVE_PLANE
 from skein.sources.memory import uniform_cloud
 
 INF = float("inf")
-PLANE = "1 12 122 1222 11212 121212 1122122 12112222 211221111 2222211221 22222221112 222111111211".split()
 
 
 def matrix(n, condensed):
@@ -48,8 +49,8 @@ def test_random_spaces_with_ties_and_gaps_under_all_toggles():
         m = matrix(n, [draw.choice([1, 1.5, 2, 2.5, INF]) for _ in range(n * (n - 1) // 2)])
         modulus, dim, threshold = draw.choice([2, 3, 5]), draw.randint(0, 3), draw.choice([None, 1.0, 2.0, INF])
         expected = rips_persistence_oracle(m, dim, threshold, modulus)
-        for apparent, clearing in product((True, False), repeat=2):
-            assert bars_of(m, dim, threshold, modulus, apparent=apparent, clearing=clearing) == expected
+        for apparent, clearing, emergent in product((True, False), repeat=3):
+            assert bars_of(m, dim, threshold, modulus, apparent_pairs=apparent, clearing=clearing, emergent=emergent) == expected
 
 
 @settings(max_examples=60, deadline=None)
@@ -63,7 +64,7 @@ def test_renumbering_and_doubling(space):
 
 
 def test_projective_plane_has_torsion():
-    m = matrix(13, [float(c) for row in PLANE for c in row])
+    m = matrix(13, [float(c) for c in PROJECTIVE_PLANE])
     assert [b for b in bars_of(m, 2) if b[0]] == [(1, 1.0, 2.0), (2, 1.0, 2.0)]
     for modulus in (3, 5, 32749):
         assert not [b for b in bars_of(m, 2, modulus=modulus) if b[0]]
@@ -104,3 +105,26 @@ def test_distances_are_the_left_fold_bit_for_bit():
     big = point_distances(np.array([[1e308], [-1e308], [1e308]]))
     assert big[0, 1] == INF and big[0, 2] == 0
     assert point_distances(np.array([[3e200, 4e200], [0, 0]]))[0, 1] == pytest.approx(5e200)
+
+
+def test_structures_agree():
+    coords = np.array(uniform_cloud(30, 3, 5))
+    coords[7] = coords[3]
+    full = point_distances(coords)
+    limit = 0.6
+    u, v = np.nonzero(np.tril(full <= limit, -1))
+    dense = Dense(30, u, v, full[u, v])
+    others = Cloud(coords, limit), Listed(30, u, v, full[u, v]), Matrix(full.copy(), limit)
+    draw = np.random.default_rng(1)
+    names = draw.integers(0, 30, (50, 2))
+    keep = full[u, v] <= 0.5
+    verts, d = np.stack([v, u], 1)[keep], full[u, v][keep]
+    for other in others:
+        assert (other.between(names[:, 0], names[:, 1]) == dense.between(names[:, 0], names[:, 1])).all()
+        assert (other.rows(np.arange(30)) == dense.distance).all()
+        assert (other.last_match(verts, d) == dense.last_match(verts, d)).all()
+        for k in range(0, len(verts), 7):
+            for a, b in zip(other.reach(verts[k].tolist(), d[k]), dense.reach(verts[k].tolist(), d[k]), strict=True):
+                assert (a == b).all()
+        for a, b in zip(other.edges(4, 19), (u, v, full[u, v]), strict=True):
+            assert (a == b[(u >= 4) & (u < 19)]).all()
