@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,30 +11,56 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _temporary: dict[str, str] = {}
+_roots: dict[tuple[str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir or, where it is unset, in local runs, a temporary folder of this machine."""
+    """spark.checkpoint.dir or, where it is unset, in local runs, a temporary folder of this machine, which is deleted
+    when Python ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _temporary.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="skein-"))
+        if spark.sparkContext.applicationId not in _temporary:
+            local = tempfile.mkdtemp(prefix="skein-")
+            atexit.register(shutil.rmtree, local, True)
+            _temporary[spark.sparkContext.applicationId] = "file://" + local
+        folder = _temporary[spark.sparkContext.applicationId]
     return folder.rstrip("/")
 
 
-def fresh(spark: SparkSession, name: str = "table") -> str:
-    """A fresh folder name in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession, path: str):
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, written as a table to the shared folder and read back. A written table has the size it has;
-    a checkpoint would keep the estimates of the plan before it, which grow without bound from round to round."""
-    spark, path = df.sparkSession, fresh(df.sparkSession)
+def fresh(spark: SparkSession, name: str = "table") -> str:
+    """A fresh folder name in this application's part of the shared folder, which is deleted when the application ends."""
+    key = spark.sparkContext.applicationId, shared_folder(spark)
+    if key not in _roots:
+        _roots[key] = f"{key[1]}/skein-{key[0]}-{uuid.uuid4().hex[:8]}"
+        store, path = _folder(spark, _roots[key])
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return f"{_roots[key]}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """df computed once, written as a table to the shared folder and read back: free of its lineage, safe against lost
+    executors. A written table has the size it has; a checkpoint would keep the estimates of the plan before it, which
+    grow without bound from round to round."""
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.skein_folder = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that cut() wrote and that nothing reads any more."""
+    store, path = _folder(df.sparkSession, df.skein_folder)
+    store.delete(path, True)
 
 
 def part_of_group() -> Column:
