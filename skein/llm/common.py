@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skein.storage import cut, discard, filesystem, fresh
 
 #: Rows and bytes of one Arrow batch sent to Python. Documents reach 100 KB and more, so the default of
 #: 10,000 rows a batch could be a gigabyte.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-#: A lookup table is broadcast up to this many rows; beyond it the lookup is a salted shuffle join.
-BROADCAST_ROWS = 50_000
+#: A lookup table is broadcast up to this many rows; beyond it the lookup is a salted shuffle join over SALTS salts.
+BROADCAST_ROWS, SALTS = 50_000, 1024
+
+__all__ = ["cut", "discard", "filesystem"]  # of the storage that all of the library shares, for the operators
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -32,50 +36,34 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests, local
-    runs) a temporary folder of this machine, which local mode shares by nature."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(base)
-        return base.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skein-checkpoint-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return fresh(spark, name)
+
 
+def free(columns: Iterable[str], name: str) -> str:
+    """The name, or it with underscores after it, such that it is none of the columns."""
+    columns = {c.lower() for c in columns}
+    while name.lower() in columns:
+        name += "_"
+    return name
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: computed once, free of its lineage, safe against lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def schema_with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
+    """df's columns, without those that bear the names of further ones, and the further ones."""
+    names = {name.lower() for name, _ in more}
+    return T.StructType([*(f for f in df.schema.fields if f.name.lower() not in names), *(T.StructField(n, t) for n, t in more)])
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written as a table to the shared folder and read back, for loops: a written table has the size it has,
-    while a checkpoint keeps the estimates of the plan before it, which grow from round to round."""
-    spark, path = df.sparkSession, work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def map_rows(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any names, ticks and dots included."""
+    names = df.columns
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
 
-def filesystem(uri: str):
-    """The pyarrow file system of a URI (file, hdfs, s3, gs) and the path in it; works on executors."""
-    from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+def few(df: DataFrame) -> bool:
+    """Whether df has few enough rows to be broadcast, by count."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def publish(uri: str, data: bytes | Iterable[bytes]) -> None:
@@ -124,12 +112,18 @@ def batches(rows: Iterator[pa.RecordBatch], schema: pa.Schema, f) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(f(batch), schema.types, strict=True)], schema=schema)
 
 
-def lookup(rows: DataFrame, found: DataFrame, key: str, salt: Column | None = None) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, key: str | list[str], salt: Column | None = None) -> DataFrame:
     """rows left-joined with `found` (at most one row a key). A small `found`, by count, is broadcast. A larger
     one is dealt in two steps, first to each (salt, key) that occurs and then to the rows, so that a key with a
-    third of all rows is spread over the salts. Rows with a null key stay, with nulls."""
-    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    third of all rows is spread over the salts. The salt is an expression of a row alone, so that both readings of
+    the rows give it alike; by default a hash of all their plain columns. Rows with a null in the key stay, with nulls."""
+    key = [key] if isinstance(key, str) else key
+    if few(found):
         return rows.join(F.broadcast(found), key, "left")
-    salted = rows.withColumn("_salt", salt if salt is not None else F.spark_partition_id())
-    per_salt = salted.select("_salt", key).where(F.col(key).isNotNull()).groupBy("_salt", key).agg(F.lit(1).alias("_one")).join(found, key, "left").drop("_one")
-    return salted.join(per_salt, ["_salt", key], "left").drop("_salt")
+    if salt is None:
+        salt = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]), F.lit(SALTS))
+    name, one = free(rows.columns + found.columns, "_salt"), free(rows.columns + found.columns, "_one")
+    salted = rows.withColumn(name, salt)
+    whole = salted.select(name, *key).where(" and ".join(f"`{c}` is not null" for c in key))
+    per_salt = whole.groupBy(name, *key).agg(F.lit(1).alias(one)).join(found, key, "left").drop(one)
+    return salted.join(per_salt, [name, *key], "left").drop(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
+from skein.llm.common import cut, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,10 +29,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges: columns a and b of one ordered type; loops and repeated edges don't matter, null ends are ignored.
     The rounds grow with the logarithm of a component's size; each is written to the shared folder."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, before = stored(edges), None
+    edges, before = cut(edges, "edges"), None
     while True:
         after = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first()
         if after == before:
             return edges
-        before = after
-        edges = stored(_star(_star(edges, True), False))
+        last, before = edges, after
+        edges = cut(_star(_star(edges, True), False), "edges")
+        discard(last)

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import arrow_batches, cut, table, texts
+from skein.llm.common import arrow_batches, cut, free, map_rows, table, texts
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of item text in one automaton, which is sent to every executor.
-AUTOMATON_BYTES = 16 << 20
+#: Bytes of item text in one automaton, which is sent to every executor. As Python holds it, an automaton takes some
+#: 70 times its text, so 140 MB in the driver and in each Python worker.
+AUTOMATON_BYTES = 2 << 20
 #: A document is contaminated if it has a hit and MOST_CLEAN times its hit words are at least all its words.
 MOST_CLEAN = 20
 
@@ -228,9 +229,7 @@ def _filtered(docs: DataFrame, benchmark: DataFrame, window: int, text: str, lim
     judges. A worker holds one automaton at a time."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    at, column = docs.columns.index(text), "_spans"
-    while column in docs.columns:
-        column += "_"
+    at, column = docs.columns.index(text), free(docs.columns, "_spans")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     found = docs.withColumn(column, F.lit(None).cast(_SPANS))
     parts = automata(benchmark, window, "text", "item_id")
@@ -248,7 +247,7 @@ def _filtered(docs: DataFrame, benchmark: DataFrame, window: int, text: str, lim
                 plain = batch.select(range(batch.num_columns - 1))
                 yield _judged(plain, bodies, [len(w) for w in listed], spans, at, limits) if last else plain.append_column(column, pa.array(spans, kind))
 
-        found = found.mapInArrow(scan, docs.schema if last else found.schema)
+        found = map_rows(found, scan, docs.schema if last else found.schema)
         now, found = after, found if last else cut(found)
     return found
 

@@ -18,12 +18,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skein.llm import crf
-from skein.llm.common import arrow_batches, fold, strings, table
+from skein.llm.common import arrow_batches, fold, map_rows, schema_with, strings, table
 
 #: Documents that the field is fitted on, at most (those with the smallest hashes of their identifiers), whole.
 TRAIN_ROWS = 600
+#: Bytes of their texts, at most.
+TRAIN_BYTES = 16 << 20
 BUCKETS = 1 << 18
 #: Words of a run and runs of a sequence in training; steps, rate and shrinkage.
 RUN, RUNS, STEPS, RATE, DECAY, SEED = (8, 40), 12, 30, 0.15, 0.5, 11
@@ -139,24 +143,34 @@ class Identifier:
         return names, np.clip(mean[np.arange(len(texts)), best], 0, 1)
 
 
-def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Fits on documents outside the held-out fold with a language, `most` of them at most."""
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.col("lang").alias("_lang")).where("_doc is not null and _lang is not null").where(fold(F.col("_doc")) != 2)
-    chosen = rows.orderBy(F.xxhash64("_doc"), "_doc", "_lang").limit(most)
-    found = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_doc")) & (F.col("lang") == F.col("_lang")), "left_semi")
-    rows = found.select("doc_id", "text", "lang").orderBy("doc_id", "lang", F.xxhash64("text")).collect()
+def train(docs: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits on rows with a language outside the held-out fold, `most` of them at most (those with the smallest hashes of
+    their identifiers), as far as their whole texts come to `most_bytes`."""
+    order = [F.xxhash64("doc"), F.col("doc"), F.col("lang"), F.col("hash")]
+    rows = docs.select(F.col("doc_id").alias("doc"), "lang", F.xxhash64("text").alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    rows = rows.where(F.col("doc").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc")) != 2)).orderBy(*order).limit(most)
+    chosen = rows.withColumn("held", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("held") <= most_bytes)
+    # Rows that repeat identifier, language and text count once.
+    chosen = chosen.select("doc", F.col("lang").alias("known"), "hash").distinct()
+    same = (F.col("doc_id") == F.col("doc")) & (F.col("lang") == F.col("known")) & (F.xxhash64("text") == F.col("hash"))
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), same, "left_semi").groupBy("doc_id", "lang", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"))
+    rows = found.orderBy("doc_id", "lang", "hash").collect()
     return fit([r.text or "" for r in rows], [r.lang for r in rows])
 
 
+_WORDS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("p", T.DoubleType())]))
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text", words: bool = False) -> DataFrame:
     """docs with lang_pred and lang_score and, if `words`, word_langs (an array of structs word, lang, p).
 
     A null text counts as empty; texts without letters are `und` with score 0 and no words. Only the text is
-    looked at."""
+    looked at. Columns of docs under these names are replaced."""
     spark = docs.sparkSession
     arrow_batches(spark)
+    schema = schema_with(docs, ("lang_pred", T.StringType()), ("lang_score", T.DoubleType()), *[("word_langs", _WORDS)] * words)
+    kept = [k for k, f in enumerate(docs.schema.fields) if f in schema.fields[: len(schema) - 2 - words]]
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text)
-    names = [*docs.columns, "lang_pred", "lang_score", *["word_langs"] * words]
     labelled = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +178,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", words: bool = Fa
         for batch in gathered(batches):
             texts = pa.array(strings(batch.column(at)), pa.string())
             found, p = identifier.languages(texts)
-            columns = [*batch.columns, pa.array(found, pa.string()), pa.array(p)]
+            columns = [*(batch.column(k) for k in kept), pa.array(found, pa.string()), pa.array(p)]
             if words:
                 columns.append(pa.array(_labelled(identifier, texts), labelled))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    more = ", word_langs array<struct<word:string,lang:string,p:double>>" * words
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double{more}")
+    return map_rows(docs, run, schema)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,14 @@
 
 Fingerprints of 64 bits lie on a ring of SEGMENTS segments. If two differ in at most BITS bits, then by the
 pigeonring principle (Qin and Xiao, VLDB 2018) some segment starts a chain all of whose prefixes of l segments
-differ in at most l * BITS / SEGMENTS bits. The first CHAIN segments of such chains are found by an equality
-join: one side has the chain's bits as they are, the other all ways to change them within the budgets. The
-longer prefixes are then checked, and at last the whole distance. No link is lost and no bucket is capped.
+differ in at most l * BITS / SEGMENTS bits. The first CHAIN segments of such chains are found by equality of keys:
+one side has the chain's bits as they are, the other all ways to change them within the budgets. The longer prefixes
+are then checked, and at last the whole distance. No link is lost and no bucket is capped.
+
+Of a dense bucket not all pairs are listed. Fingerprints that have a chain's bits in common are first linked with the
+smallest and the largest of them only. A bucket whose members are all connected by then is done; of the others, pairs
+are compared that aren't connected, and of each two groups one link is kept. So the links are about as many as the
+fingerprints, and connect what all links would.
 """
 
 from __future__ import annotations
@@ -14,42 +19,24 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from skein.llm.common import arrow_batches, cut, lookup, table, texts
+from skein.llm import shingles, similar
+from skein.llm.common import SALTS, arrow_batches, cut, discard, few, lookup, table, texts
 from skein.llm.components import components
-from skein.llm.similar import keep_one, with_rows
 
-#: Words of a shingle, seed of its hash, and most differing bits of a link.
-SHINGLE, SEED, BITS = 4, 42, 4
+#: Words of a shingle, and most differing bits of a link.
+SHINGLE, BITS = 4, 4
 #: Bits of the segments on the ring.
 SEGMENTS = (13, 13, 13, 13, 12)
-#: Hashes counted at once.
-BLOCK = 1 << 16
-
-_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-
-
-def fingerprint(text: bytes) -> int:
-    """The unsigned fingerprint of a text in UTF-8: A-Z lower-cased, words between ASCII white space; a bit is set
-    if it is in over half of the shingles' hashes, repeats included. Under four words: one shingle; none: zero."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    body, size = memoryview(b" ".join(words)), min(SHINGLE, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
-    ends = (ends[size - 1 :] - 1).tolist()
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for k in range(0, len(starts), BLOCK):
-        hashes = np.array([digest(body[a:b], SEED) for a, b in zip(starts[k : k + BLOCK], ends[k : k + BLOCK], strict=True)], ">u8").view(np.uint8).reshape(-1, 8)
-        if len(hashes) < 400:
-            counts += np.unpackbits(hashes, axis=1).sum(0, dtype=np.int64)
-        else:
-            counts += np.concatenate([np.bincount(hashes[:, j], minlength=256) @ _BITS_OF for j in range(8)])
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a text in UTF-8."""
+    return shingles.fingerprint(shingles.hashes(text, size))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -61,8 +48,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             found = np.fromiter(map(fingerprint, texts(batch.column(1))), np.uint64, batch.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())]))
 
 
 def budget(length: int) -> int:
@@ -71,8 +57,8 @@ def budget(length: int) -> int:
 
 
 def changes(start: int, chain: int) -> list[int]:
-    """All ways to change the bits of a chain within the budgets of its prefixes, as masks; the chain's first
-    segment is in the lowest bits."""
+    """All ways to change the bits of a chain within the budgets of its prefixes, as masks, no change first; the chain's
+    first segment is in the lowest bits."""
     widths = [SEGMENTS[(start + j) % len(SEGMENTS)] for j in range(chain)]
     edges = np.cumsum([0, *widths])
     found = []
@@ -96,33 +82,58 @@ def _turned(fp: Column, start: int) -> Column:
     return fp if at == 0 else F.shiftrightunsigned(fp, at).bitwiseOR(F.shiftleft(fp, 64 - at))
 
 
-def _key(fp: Column, start: int, chain: int) -> Column:
+def _chain(fp: Column, start: int, chain: int) -> Column:
     width = sum(SEGMENTS[(start + j) % len(SEGMENTS)] for j in range(chain))
     return _turned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): pairs of different fingerprints, a < b, that differ in at most BITS bits; a pair may come several
-    times. fps: distinct values in column fp."""
-    starts = range(len(SEGMENTS))
-    chain = chain_length(fps.count())
-    here = F.array(*[F.struct(F.lit(s).alias("s"), _key(F.col("fp"), s, chain).alias("key")) for s in starts])
+def _key(chain: Column, start: int) -> Column:
+    """The join key: a chain's bits and where it starts."""
+    return F.shiftleft(chain, 3).bitwiseOR(F.lit(start).cast("long"))
 
-    def changed(s: int) -> Column:
-        key = _key(F.col("fp"), s, chain)
-        return F.transform(F.lit(changes(s, chain)).cast("array<long>"), lambda mask: F.struct(F.lit(s).alias("s"), key.bitwiseXOR(mask).alias("key")))
 
-    near = F.flatten(F.array(*map(changed, starts)))
-    a = fps.select(F.col("fp").alias("a"), F.inline(near))
-    b = fps.select(F.col("fp").alias("b"), F.inline(here))
-    pairs = a.join(b, ["s", "key"]).where("a < b").withColumn("x", F.col("a").bitwiseXOR(F.col("b")))
+def _near(x: Column, key: Column, chain: int) -> Column:
+    """Whether two fingerprints whose difference is x, met under a key, are within the budgets of the key's chain."""
     ahead = F.lit(False)
-    for s in starts:
+    for s in range(len(SEGMENTS)):
         within = F.lit(True)
         for length in range(chain + 1, len(SEGMENTS)):
-            within = within & (F.bit_count(_key(F.col("x"), s, length)) <= budget(length))
-        ahead = ahead | ((F.col("s") == s) & within)
-    return pairs.where(ahead).where(F.bit_count("x") <= BITS).select("a", "b")
+            within = within & (F.bit_count(_chain(x, s, length)) <= budget(length))
+        ahead = ahead | ((key.bitwiseAND(F.lit(7).cast("long")) == s) & within)
+    return ahead & (F.bit_count(x) <= BITS)
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): pairs of different fingerprints, a > b, that differ in at most BITS bits: not all such pairs, but so many
+    that what all of them would connect is connected. fps: distinct values in column fp."""
+    starts = range(len(SEGMENTS))
+    chain = chain_length(fps.count())
+    fp = F.col("fp")
+    # Stars: each fingerprint and the least and greatest one with the same chain.
+    own = fps.select("fp", F.explode(F.array(*[_key(_chain(fp, s, chain), s) for s in starts])).alias("key"))
+    ends = own.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    met = own.join(ends, "key").select("fp", "key", F.explode(F.array("low", "high")).alias("b")).where("fp <> b")
+    met = met.where(_near(fp.bitwiseXOR(F.col("b")), F.col("key"), chain))
+    stars = cut(met.select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b")).distinct(), "stars")
+    # All others: rows of the keys that hold fingerprints which aren't connected yet, and one of them unchanged.
+    known = components(stars).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = lookup(fps, known, "fp", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).select("fp", F.coalesce("root", "fp").alias("root"))
+
+    def changed(s: int) -> Column:
+        here = _chain(fp, s, chain)
+        return F.transform(F.lit(changes(s, chain)).cast("array<long>"), lambda mask: F.struct(_key(here.bitwiseXOR(mask), s).alias("key"), (mask == 0).alias("own")))
+
+    rows = rooted.select("fp", "root", F.inline(F.flatten(F.array(*map(changed, starts)))))
+    over = Window.partitionBy("key")
+    rows = rows.select("*", F.min("root").over(over).alias("low"), F.max("root").over(over).alias("high"), F.max("own").over(over).alias("met"))
+    rows = cut(rows.where("met and low < high").select("key", "fp", "root", "own"), "mixed")
+    x = rows.select("key", F.col("fp").alias("x"), F.col("root").alias("rx"))
+    y = rows.where("own").select("key", F.col("fp").alias("y"), F.col("root").alias("ry"))
+    pairs = x.join(y, "key").where((F.col("rx") != F.col("ry")) & _near(F.col("x").bitwiseXOR(F.col("y")), F.col("key"), chain))
+    one = pairs.groupBy(F.greatest("rx", "ry").alias("_r"), F.least("rx", "ry").alias("_q")).agg(F.min(F.struct(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).alias("link"))
+    found = cut(stars.unionByName(one.select("link.a", "link.b")), "links")
+    discard(stars), discard(rows)
+    return found
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -132,22 +143,40 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     that can be reached, a row's own included. Equal fingerprints are one vertex, however many rows have them.
     Texts without words have fingerprint zero and are linked like others. Null identifiers don't count for
     component_id (null if a component has no other). Repeated rows stay. An empty table gives an empty result."""
-    rows = cut(fingerprints(docs, text, doc_id))
-    vertices = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    rows = cut(fingerprints(docs, text, doc_id), "fingerprints")
+    vertices = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "vertices")
     tied = components(links(vertices.select("fp")))
-    root = vertices.join(tied, vertices["fp"] == tied["a"], "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    root = cut(root)
-    linked = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = root.join(linked, "root").select("fp", "component_id")
-    return lookup(rows, found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # Only fingerprints that are linked or that several rows have need be looked up.
+    roots = tied.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(tied.select("b", "b").distinct())
+    linked = cut(roots.join(vertices, "fp").select("fp", "root", "least"), "linked")
+    best = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")), "best")
+    found = lookup(linked, best, "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS))).select("fp", "component_id")
+    copies = vertices.where("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    found = cut(found.unionByName(copies).withColumn("met", F.lit(True)), "found")
+    out = lookup(rows, found, "fp", F.pmod(F.xxhash64("doc_id", "fp"), F.lit(SALTS)))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, columns as they are: of each group one, as keep_one() has it. Rows are told apart by
-    number, so null and repeated identifiers and repeated rows do no harm."""
-    docs, row = with_rows(docs)
-    found = near_groups(docs, text, row)
-    return keep_one(docs, row, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), text, doc_id)
+    """The rows of docs that stay, columns as they are: of each group of near duplicates one, as keep_one() has it.
+
+    Near duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more; groups are what such
+    links connect. Rows whose SimHash fingerprints (of the same shingles) are equal or linked are compared first, each
+    link verified on the whole sets. Texts of that similarity often differ in more bits than any key can bridge, so the
+    pairs that fingerprints miss are then found by the shingles themselves (see similar.linked); none is lost. Rows are
+    told apart by number, not by identifier, so null and repeated identifiers and repeated rows do no harm. A null
+    text counts as empty; texts without words are one group."""
+    docs, row = similar.with_rows(docs)
+    rows = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
+    keyed = similar.keyed(rows)
+    first = cut(keyed.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    several = first.where("n > 1").select("fp", "first")
+    equal = keyed.select("row", "fp").join(F.broadcast(several) if few(several) else several, "fp").where("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    pairs = links(first.select("fp"))
+    pairs = pairs.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    ties = similar.linked(rows, keyed, equal.union(pairs.select("x", "y")))
+    groups = ties.select(F.col("a").alias("row"), F.col("b").alias("root")).union(ties.select("b", "b").distinct())
+    return similar.keep_one(docs, row, groups, text, doc_id)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

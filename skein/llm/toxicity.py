@@ -18,11 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from skein.llm.common import arrow_batches, fold, strings, table
+from skein.llm.common import arrow_batches, fold, free, map_rows, schema_with, strings, table
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their identifiers.
 TRAIN_ROWS = 4000
+#: Bytes of their texts, at most.
+TRAIN_BYTES = 64 << 20
 #: Lengths of prefixes that are features beside the whole word, and buckets that features are hashed to.
 PREFIXES, BUCKETS = (3, 4, 5), 1 << 20
 #: Steps, rate and momentum of training; a feature must pull by more than SHRINK documents to leave zero, and moves
@@ -162,13 +166,20 @@ class Scorer:
         return found
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> list[tuple[str, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list[tuple[str, int]]:
     """Texts and labels to fit on: label rows outside the held-out fold, `most` of them at most, those with the
-    smallest hashes of their identifiers. Null labels and identifiers are left out."""
-    chosen = labels.select(F.col("doc_id").alias("_doc"), F.col("toxic").alias("_toxic")).where("_doc is not null and _toxic is not null").where(fold(F.col("_doc")) != 2)
-    chosen = chosen.orderBy(F.xxhash64("_doc"), "_doc", "_toxic").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
-    return [(r.text or "", int(r._toxic)) for r in rows.select("text", "_toxic", "_doc").orderBy("_doc", "_toxic", F.xxhash64("text")).collect()]
+    smallest hashes of their identifiers, as far as their whole texts come to `most_bytes`. Null labels and identifiers
+    are left out; identifiers that several rows bear don't make more than `most` rows."""
+    doc, toxic, size, held = (free(docs.columns, name) for name in ("_doc", "_toxic", "_size", "_held"))
+    chosen = labels.select(F.col("doc_id").alias(doc), F.col("toxic").alias(toxic)).where(F.col(doc).isNotNull() & F.col(toxic).isNotNull() & (fold(F.col(doc)) != 2))
+    chosen = chosen.orderBy(F.xxhash64(doc), doc, toxic).limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col(doc))
+    rows = rows.select("text", toxic, doc, F.coalesce(F.octet_length("text"), F.lit(0)).alias(size))
+    order = [F.xxhash64(doc), F.col(doc), F.col(toxic), F.xxhash64("text")]
+    rows = rows.orderBy(*order).limit(most)
+    held_bytes = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of `most` rows at most
+    rows = rows.withColumn(held, held_bytes).where(F.col(held) <= most_bytes).orderBy(doc, toxic, F.xxhash64("text"))
+    return [(r[0] or "", int(r[1])) for r in rows.select("text", toxic).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
@@ -176,13 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     return fit([t for t, _ in rows], [y for _, y in rows])
 
 
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", locate: bool = False) -> DataFrame:
     """docs with columns tox_score and, if `locate`, tox_sentences (start, end, score of offending sentences of
-    documents at or over the threshold). A null text or one without words has score 0 and no sentences."""
+    documents at or over the threshold). A null text or one without words has score 0 and no sentences. Columns of docs
+    under these names are replaced."""
     spark = docs.sparkSession
     arrow_batches(spark)
+    schema = schema_with(docs, ("tox_score", T.DoubleType()), *[("tox_sentences", _SPANS)] * locate)
+    kept = [k for k, f in enumerate(docs.schema.fields) if f in schema.fields[: len(schema) - 1 - locate]]
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text)
-    names = [*docs.columns, "tox_score", *["tox_sentences"] * locate]
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +206,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", locate: bool = Fals
         for batch in batches:
             texts = strings(batch.column(at))
             p = scorer.scores(texts)
-            columns = [*batch.columns, pa.array(p)]
+            columns = [*(batch.column(k) for k in kept), pa.array(p)]
             if locate:
                 columns.append(pa.array([scorer.sentences(t) if x >= THRESHOLD else [] for t, x in zip(texts, p.tolist(), strict=True)], spans))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    more = ", tox_sentences array<struct<start:int,end:int,score:double>>" * locate
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, tox_score double{more}")
+    return map_rows(docs, run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
@@ -212,7 +226,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Da
         for batch in batches:
             yield batch.filter(pa.array(scorer.scores(strings(batch.column(at))) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_batches, cut, filesystem, lookup, publish, table, texts, work_dir
+from skein.llm.common import SALTS, arrow_batches, cut, filesystem, lookup, publish, table, texts, work_dir
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 1000
@@ -173,7 +173,7 @@ def write_bundles(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.when(F.octet_length("html") >= LEAST_REVISIT, F.unhex(F.sha2("html", 256))))
     groups = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    found = lookup(rows, cut(groups.where("n > 1").select("key", "keep")), "key")
+    found = lookup(rows, cut(groups.where("n > 1").select("key", "keep"), "groups"), "key", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
     found = found.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

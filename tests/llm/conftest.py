@@ -23,12 +23,15 @@ def tricky(documents):
     return documents(TRICKY).repartition(3)
 
 
+#: Names that operators use themselves, inside or for what they give, and odd ones.
+NAMES = """_text _key _sha _run _digest _bytes _check fp _doc _lang _toxic _size _held _salt _one kept score lang_pred lang_score word_langs tox_score
+tox_sentences _gone _gone_key _gone_sha _other_key _other_sha _row _row_ _spans _c _mean _rejected base added root row keep found a b doc hash""".split() + ["a `tick`", "a space", "a.dot"]
+
+
 @pytest.fixture(scope="session")
 def clashing(documents):
-    """Extra columns under names that operators might use themselves."""
+    """Extra columns under names that operators might use themselves, one of them a struct with an odd field."""
     from pyspark.sql import functions as F
 
     df = documents([(1, "one two three four five"), (2, "ONE two three four five"), (3, "six"), (4, "idiot trash")])
-    for name in ("_text", "_key", "_sha", "_run", "_digest", "fp", "tox_score2", "_doc", "_salt", "kept", "score"):
-        df = df.withColumn(name, F.lit(0))
-    return df
+    return df.select("*", *[F.lit(0).alias(name) for name in NAMES], F.struct(F.lit(1).alias("a field")).alias("nested"))

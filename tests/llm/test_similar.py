@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from skein.llm import similar
+from skein.llm import common, similar, simhash
+from skein.llm import shingles as hashed
 
 
 def shingles(text):
@@ -52,22 +53,22 @@ def test_stage_keeps_one_of_each_group_at_similarity_0_8(spark, documents, monke
     assert sorted(r.doc_id for r in out.collect()) == expected and out.columns == frame.columns
     monkeypatch.setattr(similar, "SAMPLE", 1)
     monkeypatch.setattr(similar, "COMMON", 2)
-    monkeypatch.setattr(similar, "BROADCAST_ROWS", 3)
-    assert sorted(r.doc_id for r in similar.drop_similar(frame).collect()) == expected
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    assert sorted(r.doc_id for r in simhash.drop_near(frame).collect()) == expected
 
 
 def test_stage_with_null_and_repeated_identifiers_and_empty_tables(documents):
     rows = [(None if i % 3 == 0 else i % 10, t) for i, t in near_copies(2)] * 2
-    out = [(r.doc_id, r.text) for r in similar.drop_similar(documents(rows).repartition(3)).collect()]
+    out = [(r.doc_id, r.text) for r in simhash.drop_near(documents(rows).repartition(3)).collect()]
     groups = brute_kept(rows)
     for group in groups:
         best = min(group, key=lambda r: (r[0] is None, r[0] or 0))[0]
         (kept,) = [i for i, t in out if (i, t) in group]
         assert kept == best
-    assert len(out) == len(groups) and similar.drop_similar(documents([])).count() == 0
+    assert len(out) == len(groups) and simhash.drop_near(documents([])).count() == 0
 
 
 def test_similarity_just_at_and_below_the_bound():
     w = [f"w{k}" for k in range(49)]  # 45 shingles; another last word changes one, four last words four
-    sets = [set(similar.hashes(" ".join(x).encode()).tolist()) for x in (w, w[:-5] + list("abcde"), w[:-6] + list("abcdef"))]
+    sets = [set(similar.hash_set(list(hashed.hashes(" ".join(x).encode(), 5))).tolist()) for x in (w, w[:-5] + list("abcde"), w[:-6] + list("abcdef"))]
     assert [5 * len(sets[0] & s) >= 4 * len(sets[0] | s) for s in sets] == [True, 5 * 40 >= 4 * 50, False]

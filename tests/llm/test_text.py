@@ -101,7 +101,12 @@ def test_toxicity_of_tricky_and_empty_tables(spark, documents, tricky, clashing)
     no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.drop_toxic(tricky, no_labels).count() == len(TRICKY)
     assert toxicity.score(documents([]), model).count() == 0
-    assert {r.doc_id for r in toxicity.score(clashing, model).where("tox_score >= 0.3").collect()} == {4}
+    out = toxicity.score(clashing, model, locate=True)
+    assert {r.doc_id for r in out.where("tox_score >= 0.3").collect()} == {4} and sorted(out.columns) == sorted(clashing.columns)
+    marks = spark.createDataFrame([(k, 0, k % 2) for k in range(8)], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(clashing, marks).columns == clashing.columns
+    assert len(toxicity.training_rows(documents([(5, "x")] * 40 + [(1, "y" * 100)]), marks, 3)) <= 3
+    assert toxicity.training_rows(documents([(1, "y" * 100), (3, "z")]), marks, 9, 50) in ([], [("z", 1)])
     assert toxicity.fit([], []).bias < -20 and toxicity.fit(["a"], [1]).bias < -20
 
 
@@ -163,7 +168,8 @@ def test_language_of_tricky_and_empty_tables(spark, documents, tricky, clashing)
     assert out[1] == out[2] == out[3] == ("und", 0.0) and out[6][0] in SYLLABLES and out[8][0] in SYLLABLES
     none = language_id.train(documents([]))
     assert {r.lang_pred for r in language_id.identify(tricky, none, words=True).collect()} == {"und"}
-    assert language_id.identify(documents([]), model).count() == 0 and language_id.identify(clashing, model).count() == 4
+    assert language_id.identify(documents([]), model).count() == 0 and language_id.identify(clashing, model, words=True).count() == 4
+    assert language_id.train(clashing).languages == ["en"]
     assert language_id.fit(["1 2"], ["en"]).languages == []
 
 
