@@ -3,19 +3,22 @@ operations only.
 
 Candidates are maximal runs of [A-Za-z0-9+/] or of [A-Za-z0-9_-], with = only as padding at the end, of LEAST_TOKEN
 characters or more with a digit and a letter; so a value after = is tested by itself. A run within one of the other
-kind isn't a candidate of its own; runs of the two kinds that merely overlap both are. A candidate's encoding is the smallest of hex, base32, base36 (lower or upper case), base62, base64 and base64url
-whose alphabet it keeps to. Under "each symbol is drawn alike and independently" three tests are made of it:
-chi-squared uniformity over the alphabet, runs above and below the alphabet's middle, and serial correlation. Their
-p-values are combined by Fisher's method. A document's candidates are a family: those that the Benjamini-Hochberg
-procedure at level DISCOVERY rejects are not random and are dropped. p-values are weighted by length, for long
-natural strings are found out with more power than short ones; so the share of true random tokens among those
-dropped is controlled. The rest are reported as `random`, unless they overlap a pattern's span.
+kind isn't a candidate of its own; runs of the two kinds that merely overlap both are. A candidate's encoding is the
+smallest of hex, base32, base36 (lower or upper case), base62, base64 and base64url whose alphabet it keeps to. Under
+"each symbol is drawn alike and independently" five tests are made of it: chi-squared uniformity over the alphabet, in
+two parts that are independent, between its classes (digits, small letters, capitals and signs) and within them; runs
+above and below the alphabet's middle; runs of vowels and other symbols; and serial correlation. Their p-values are
+combined by Fisher's method.
+
+A discovery is a candidate that is found not to be random; it is dropped. A document's candidates are a family under the
+Benjamini-Hochberg procedure, at a level that falls with a candidate's length: DISCOVERY at LEAST_TOKEN symbols, half of
+it at twice as many, since long natural strings are found out all the same. So of true random tokens at most about
+DISCOVERY are dropped, fewer of long ones. The rest are reported as `random`, unless they overlap a pattern's span.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 LEAST_ASSIGN = 8
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the battery, and the level of its false-discovery control.
-LEAST_TOKEN, DISCOVERY = 20, 0.2
+LEAST_TOKEN, DISCOVERY = 20, 0.02
 _RUN = "A-Za-z0-9+/_=-"
 
 
@@ -58,8 +61,10 @@ ENCODINGS = (
     ("^[0-9A-Za-z+/]+$", _LOWER.upper() + _LOWER + _DIGITS + "+/"),
     ("^[0-9A-Za-z_-]+$", _LOWER.upper() + _LOWER + _DIGITS + "-_"),
 )
-#: Elements of an array that are summed up one by one; longer arrays in groups of so many.
-GROUP = 256
+#: Elements of an array that are summed up one by one; longer arrays in groups of so many. Symbols of a token that are
+#: made numbers at once.
+GROUP, SYMBOLS = 256, 4096
+_VOWELS = "aeiouAEIOU"
 
 _SPAN = "array<struct<start:bigint,end:bigint,s:string>>"
 
@@ -113,77 +118,107 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _codes(token: Column) -> Column:
-    """Size of the inferred alphabet and the token's symbols as numbers in it; null where no encoding fits."""
+def _coded(token: Column) -> Column:
+    """The token without = at its end, and the alphabet of its encoding; null where no encoding fits."""
     bare = F.rtrim(token, F.lit("="))
-    symbols = F.filter(F.split(bare, ""), lambda c: c != "")
-    out = F.lit(None).cast("struct<m:int,x:array<int>>")
-    for pattern, alphabet in reversed(ENCODINGS):
-        out = F.when(bare.rlike(pattern), F.struct(F.lit(len(alphabet)).alias("m"), _numbers(symbols, alphabet).alias("x"))).otherwise(out)
-    return out
-
-
-def _numbers(symbols: Column, alphabet: str) -> Column:
-    return F.transform(symbols, lambda c: F.position(c, F.lit(alphabet)) - 1)
+    alphabet = F.lit(None).cast("string")
+    for pattern, symbols in reversed(ENCODINGS):
+        alphabet = F.when(bare.rlike(pattern), F.lit(symbols)).otherwise(alphabet)
+    return F.when(alphabet.isNotNull(), F.struct(bare.alias("x"), alphabet.alias("alphabet")))
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _statistics(m: Column, x: Column) -> Column:
-    """What the tests need of symbols x in an alphabet of m: sums over symbols, pairs and runs."""
-    n = F.size(x).cast("double")
-    count = F.transform(F.sequence(F.lit(0), m - 1), lambda k: F.size(F.filter(x, lambda v: v == k)).cast("double"))
-    mean = _total(F.transform(x, lambda v: v.cast("double"))) / n
-    following = F.slice(x, F.lit(2), F.size(x) - 1)
-    pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    high = lambda v: 2 * v >= m
-    turns = _total(F.transform(pairs, lambda p: F.when(high(p["a"]) != high(p["b"]), 1.0).otherwise(0.0)))
-    return _let(
-        mean,
-        lambda mu: F.struct(
-            n.alias("n"),
-            m.cast("double").alias("m"),
-            _total(F.transform(count, lambda c: c * c)).alias("squares"),
-            F.size(F.filter(x, high)).cast("double").alias("above"),
-            (turns + 1).alias("runs"),
-            _total(F.transform(x, lambda v: (v - mu) * (v - mu))).alias("variance"),
-            _total(F.transform(pairs, lambda p: (p["a"] - mu) * (p["b"] - mu))).alias("covariance"),
-        ),
+def _left(x: Column, symbols: Column) -> Column:
+    """Symbols of a string that aren't among the given ones."""
+    return F.char_length(F.call_function("translate", x, symbols, F.lit(""))).cast("double")
+
+
+def _runs(x: Column, high: Column) -> Column:
+    """Runs of symbols that are among the given ones or aren't. All symbols are letters, digits and signs; ! marks."""
+    marked = F.call_function("translate", x, high, F.repeat(F.lit("!"), F.char_length(high)))
+    two = F.regexp_replace(marked, "[^!]", "?")
+    turns = lambda pair: (F.char_length(two) - F.char_length(F.replace(two, F.lit(pair), F.lit("")))).cast("double") / 2
+    return turns("!?") + turns("?!") + 1
+
+
+def _products(x: Column, alphabet: Column) -> Column:
+    """The sum of products of neighbouring symbols' numbers, SYMBOLS at a time, so that no long array is made."""
+    raw = x.cast("binary")
+    number = lambda c: (F.position(c, alphabet) - 1).cast("double")
+
+    def block(k: Column) -> Column:
+        signs = F.filter(F.split(F.decode(F.substr(raw, k * SYMBOLS + 1, F.lit(SYMBOLS + 1)), "UTF-8"), ""), lambda c: c != "")
+        return _let(F.transform(signs, number), lambda v: _total(F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: a * b)))
+
+    return _total(F.transform(F.sequence(F.lit(0), F.floor((F.char_length(x) - 2) / SYMBOLS).cast("int")), block))
+
+
+def _statistics(x: Column, alphabet: Column) -> Column:
+    """What the tests need of a string x over an alphabet: sums over symbols, classes, pairs and runs."""
+    n, m = F.char_length(x).cast("double"), F.char_length(alphabet)
+    symbols = F.filter(F.split(alphabet, ""), lambda c: c != "")
+    count = F.transform(symbols, lambda c: n - F.char_length(F.replace(x, c, F.lit(""))))
+    high = F.substr(alphabet, (m / 2).cast("int") + 1, m)
+    digits, small = F.lit(_DIGITS), F.lit(_LOWER)
+    classes = F.array(*[F.struct((n - _left(x, s)).alias("n"), (m - _left(alphabet, s)).cast("double").alias("m")) for s in (digits, small)])
+    number = lambda c: (F.position(c, alphabet) - 1).cast("double")
+    return F.struct(
+        n.alias("n"),
+        m.cast("double").alias("m"),
+        classes.alias("classes"),
+        _total(F.transform(count, lambda c: c * c)).alias("squares"),
+        _total(F.transform(count, lambda c, k: c * k)).alias("sum"),
+        _total(F.transform(count, lambda c, k: c * k * k)).alias("sum2"),
+        (n - _left(x, high)).alias("above"),
+        _runs(x, high).alias("runs"),
+        (n - _left(x, F.lit(_VOWELS))).alias("vowels"),
+        _runs(x, F.lit(_VOWELS)).alias("vowel_runs"),
+        number(F.substr(x, F.lit(1), F.lit(1))).alias("first"),
+        number(F.substr(x, F.char_length(x), F.lit(1))).alias("last"),
+        _products(x, alphabet).alias("products"),
     )
 
 
+def _runs_tail(n: Column, above: Column, runs: Column, none: Column) -> Column:
+    """The p-value of a number of runs; `none` where all symbols are on one side."""
+    expected = 2 * above * (n - above) / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    return F.when((above == 0) | (above == n), none).when(spread <= 0, 1.0).otherwise(_two_sided((runs - expected) / F.sqrt(spread)))
+
+
 def _p_value(q: Column) -> Column:
-    """The combined p-value of the three tests, from _statistics()."""
+    """The combined p-value of the tests, from _statistics()."""
     n, m = q["n"], q["m"]
-    uniform = _chi_tail(m / n * q["squares"] - n, m - 1)
-    above, below = q["above"], n - q["above"]
-    expected = 2 * above * below / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
+    rest = F.struct((n - _total(F.transform(q["classes"], lambda c: c["n"]))).alias("n"), (m - _total(F.transform(q["classes"], lambda c: c["m"]))).alias("m"))
+    classes = F.filter(F.concat(q["classes"], F.array(rest)), lambda c: c["m"] > 0)
+    between = _total(F.transform(classes, lambda c: (c["n"] - n * c["m"] / m) * (c["n"] - n * c["m"] / m) / (n * c["m"] / m)))
+    degrees = F.size(classes).cast("double") - 1
+    all_ = m / n * q["squares"] - n
     one_side = F.pow(F.lit(2.0), 1 - n)  # all symbols on one side of the middle
-    runs = F.when((above == 0) | (below == 0) | (spread <= 0), one_side).otherwise(_two_sided((q["runs"] - expected) / F.sqrt(spread)))
-    serial = F.when(q["variance"] == 0, one_side).otherwise(_two_sided((q["covariance"] / q["variance"] + 1 / n) * F.sqrt(n)))
-    ps = F.transform(F.array(uniform, runs, serial), lambda p: F.log(F.greatest(p, F.lit(1e-300))))
-    return _let(-_total(ps), lambda h: F.exp(-h) * (1 + h + h * h / 2))
+    mean = q["sum"] / n
+    variance = q["sum2"] - n * mean * mean
+    covariance = q["products"] - mean * (2 * q["sum"] - q["first"] - q["last"]) + (n - 1) * mean * mean
+    serial = F.when(variance <= 0, one_side).otherwise(_two_sided((covariance / variance + 1 / n) * F.sqrt(n)))
+    tests = [_chi_tail(between, degrees), _chi_tail(F.greatest(all_ - between, F.lit(0.0)), m - 1 - degrees), _runs_tail(n, q["above"], q["runs"], one_side), _runs_tail(n, q["vowels"], q["vowel_runs"], F.lit(1.0)), serial]
+    ps = F.transform(F.array(*tests), lambda p: F.log(F.greatest(p, F.lit(1e-300))))
+    return _let(-_total(ps), lambda h: F.exp(-h) * (1 + h * (1 + h / 2 * (1 + h / 3 * (1 + h / 4)))))
 
 
 def _random_tokens(text: Column) -> list:
     """Steps (column name, expression of the row) from a text to its random-looking tokens, each of one name."""
     c = F.col
-    tested = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _statistics(t["codes"]["m"], t["codes"]["x"]).alias("q"))
-    judged = lambda t: F.struct(_p_value(t["q"]).alias("p"), t["start"].alias("start"), t["end"].alias("end"), (t["end"] - t["start"]).cast("double").alias("n"))
-    weighted = lambda mean: lambda t: F.struct((t["p"] * mean / t["n"]).alias("p"), t["start"].alias("start"), t["end"].alias("end"))
-    mean = _total(F.transform(c("_c"), lambda t: t["n"])) / F.size("_c")
+    tested = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _statistics(t["code"]["x"], t["code"]["alphabet"]).alias("q"))
+    length_aware = lambda t: F.struct((_p_value(t["q"]) * t["q"]["n"] / LEAST_TOKEN).alias("p"), t["start"].alias("start"), t["end"].alias("end"))
     below = F.filter(F.sequence(F.lit(1), F.size("_c")), lambda k: F.element_at(c("_c"), k)["p"] <= DISCOVERY * k / F.size("_c"))
     rejected = F.coalesce(F.array_max(below), F.lit(0))
     return [
         ("_c", F.concat(*[_spans(text, pattern, 0) for pattern in CANDIDATES])),
-        ("_c", F.transform("_c", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _codes(t["s"]).alias("codes")))),
-        ("_c", F.transform(F.filter("_c", lambda t: t["codes"].isNotNull() & (F.size(t["codes"]["x"]) >= 2)), tested)),
-        ("_c", F.transform("_c", judged)),
-        ("_mean", mean),
-        ("_c", F.array_sort(F.transform("_c", weighted(c("_mean"))))),
+        ("_c", F.transform("_c", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _coded(t["s"]).alias("code")))),
+        ("_c", F.transform(F.filter("_c", lambda t: t["code"].isNotNull() & (F.char_length(t["code"]["x"]) >= 2)), tested)),
+        ("_c", F.array_sort(F.transform("_c", length_aware))),
         ("_rejected", F.when(F.size("_c") == 0, 0).otherwise(rejected)),
         ("_c", F.slice(c("_c"), c("_rejected") + 1, F.greatest(F.size("_c") - c("_rejected"), F.lit(0)))),
     ]
@@ -229,50 +264,3 @@ def report(found: DataFrame) -> DataFrame:
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(table(spark, sf_dir, "documents")))
-
-
-def brute_force(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Spans (start, end, kind) of the patterns, and of the battery, for one text, in plain Python; for tests."""
-    base = []
-    for kind, pattern, ok in (
-        ("assign", re.compile(ASSIGN, re.ASCII), lambda m: len(m[2]) >= LEAST_ASSIGN),
-        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
-        ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
-    ):
-        base += [(*m.span(), kind) for m in pattern.finditer(text) if ok(m)]
-    tail = lambda z: math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (t := 1 / (1 + 0.2316419 * z)) * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tokens = []
-    for m in (m for pattern in CANDIDATES for m in re.finditer(pattern, text)):
-        bare = m[0].rstrip("=")
-        alphabet = next((a for pattern, a in ENCODINGS if re.match(pattern, bare)), None)
-        if alphabet is None or len(bare) < 2:
-            continue
-        x, size = [alphabet.index(c) for c in bare], len(alphabet)
-        n, mu = len(x), sum(x) / len(x)
-        chi = size / n * sum(x.count(k) ** 2 for k in range(size)) - n
-        k = 2 / (9 * (size - 1))
-        z = ((chi / (size - 1)) ** (1 / 3) - (1 - k)) / math.sqrt(k)
-        uniform = tail(z) if z >= 0 else 1 - tail(-z)
-        high = [2 * v >= size for v in x]
-        above, below = sum(high), n - sum(high)
-        expected = 2 * above * below / n + 1
-        spread = (expected - 1) * (expected - 2) / (n - 1)
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
-        p_runs = 2.0 ** (1 - n) if not above or not below or spread <= 0 else min(1, 2 * tail(abs(runs - expected) / math.sqrt(spread)))
-        var = sum((v - mu) ** 2 for v in x)
-        cov = sum((a - mu) * (b - mu) for a, b in zip(x, x[1:], strict=False))
-        p_serial = 2.0 ** (1 - n) if var == 0 else min(1, 2 * tail(abs(cov / var + 1 / n) * math.sqrt(n)))
-        h = -sum(math.log(max(p, 1e-300)) for p in (uniform, p_runs, p_serial))
-        tokens.append((math.exp(-h) * (1 + h + h * h / 2), *m.span()))
-    mean = sum(b - a for _, a, b in tokens) / len(tokens) if tokens else 1
-    tokens = sorted((p * mean / (b - a), a, b) for p, a, b in tokens)
-    rejected = max((k for k in range(1, len(tokens) + 1) if tokens[k - 1][0] <= DISCOVERY * k / len(tokens)), default=0)
-    added = [(a, b, "random") for _, a, b in tokens[rejected:] if not any(s < b and a < e for s, e, _ in base)]
-    return base, added
-
-
-def brute_report(text: str) -> tuple[str, str]:
-    """The joined spans of the patterns, and of all kinds, for one text; for tests."""
-    base, added = brute_force(text)
-    order = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
-    return order(base), order([*base, *added])

@@ -4,6 +4,8 @@ import pytest
 
 from skein.llm import secrets
 
+from . import plain_secrets
+
 TOKEN, KEY, URL = "Qm7xT2vR9kLp4sWz8NbY3cHd6Jf1", "wJ8rXUtnFEM/K7MDENGbPxR+iCYzX2MPLq", "q7_Zt-4mKx9Rw2LsVb8Nc3Jh"
 CASES = [
     (f"GITHUB_PAT={TOKEN}", TOKEN),
@@ -28,4 +30,4 @@ def test_token_is_tested_by_itself(found, k):
     text, token = CASES[k]
     at = text.index(token)
     assert f"random:{at}:{at + len(token)}" in found[k].split(",")
-    assert found[k] == secrets.brute_report(text)[1]
+    assert found[k] == plain_secrets.brute_report(text)[1]

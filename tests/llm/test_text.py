@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import crf, decontaminate, language_id, secrets, toxicity
 
+from . import plain_secrets
 from .conftest import ITEM, TRICKY
 
 
@@ -191,14 +192,44 @@ def test_secrets(documents):
     found = {r.doc_id: r for r in secrets.report(secrets.scan(documents(rows).repartition(3))).collect()}
     added = 0
     for k, text in rows:
-        base, spans = secrets.brute_report(text)
+        base, spans = plain_secrets.brute_report(text)
         kinds = [x.split(":")[0] for x in base.split(",")] if base else []
         r = found[k]
         assert (r.spans, r.base_sha256) == (spans, hashlib.sha256(base.encode()).hexdigest()), text
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(x) for x in secrets.KINDS[:3])
         added += spans.count("random")
     assert added >= 10  # random tokens are found; periodic ones and names aren't
-    assert "random" not in secrets.brute_report("aaaaaaaaaaaaaaaaaaaa1 " + "ab1" * 30)[1]
+    assert "random" not in plain_secrets.brute_report("aaaaaaaaaaaaaaaaaaaa1 " + "ab1" * 30)[1]
+
+
+WORDS = """customer order item total shipping address user account session handler factory manager service config parser index table column value update
+delete create process request response client server database connection pool thread worker message queue stream buffer reader writer file path folder
+image document page section header footer button widget layout style theme color margin border align first last next previous version package""".split()
+
+
+def test_recall_of_random_tokens_and_precision_on_names():
+    """By length and encoding at least 0.95 of random tokens are reported, and few names of several words and a number."""
+    draw = random.Random(9)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (digits + low[:6], low.upper() + "234567", digits + low, digits + low + low.upper(), digits + low + low.upper() + "+/"):
+        for n in (20, 24, 32, 40, 64):
+            tokens = ["".join(draw.choice(alphabet) for _ in range(n)) for _ in range(500)]
+            tokens = [t for t in tokens if any(c.isdigit() for c in t) and any(c.isalpha() for c in t)]
+            kept = np.mean([plain_secrets.p_value(t) * n / secrets.LEAST_TOKEN > secrets.DISCOVERY for t in tokens])
+            assert kept > 0.94, (alphabet, n, kept)
+    names = [draw.choice(["_", "-", ""]).join([*draw.sample(WORDS, draw.randint(3, 5)), str(draw.randint(1, 2030))]) for _ in range(1500)]
+    reported = [plain_secrets.p_value(t) * len(t) / secrets.LEAST_TOKEN > secrets.DISCOVERY for t in names if len(t) >= 20]
+    assert np.mean(reported) < 0.2 and np.mean([r for r, t in zip(reported, [t for t in names if len(t) >= 20], strict=True) if len(t) >= 30]) < 0.06
+
+
+def test_the_query_finds_a_planted_token_that_no_pattern_fits(documents, tmp_path):
+    token = "q7ZxP0vKe3Rw9Lm2Ty8Ub5Nd1Hs6Fj4Ga"
+    draw = random.Random(2)
+    texts = [f"deploy with {token} please", "see customer_order_total_2024 there", None, f"{'word ' * 30000}{token}", "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))]
+    frame = documents(list(enumerate(texts)))
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.spans for r in secrets.op4_secrets(frame.sparkSession, str(tmp_path)).collect()}
+    assert found == {0: f"random:12:{12 + len(token)}", 1: "", 2: "", 3: f"random:150000:{150000 + len(token)}", 4: "random:0:200000"}
 
 
 def test_secrets_of_tricky_and_empty_tables(tricky, clashing):
