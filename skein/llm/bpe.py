@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_batches, strings, table
+from skein.llm.common import arrow_batches, lean, strings, table
 from skein.llm.pieces import Pieces, by_text
 
 #: The byte-level pre-tokenizer's pattern.
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id:
     names = ["doc_id", "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"]
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, {'ids binary, ' * ids}ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -55,10 +56,26 @@ def schema_with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name.lower() not in names), *(T.StructField(n, t) for n, t in more)])
 
 
+def lean(run):
+    """run, a function of an Arrow stage, such that a worker hands the memory it no longer uses back when a task ends:
+    workers outlive their tasks, and stages after this one would run beside what it left."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def map_rows(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """df.mapInArrow(run, schema) for columns of any names, ticks and dots included."""
     names = df.columns
-    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(lambda batches: run(b.rename_columns(names) for b in batches), schema)
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(lean(lambda batches: run(b.rename_columns(names) for b in batches)), schema)
 
 
 def few(df: DataFrame) -> bool:
