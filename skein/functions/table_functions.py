@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from skein.params import RipsParams, checked_dim
-from skein.plans.kernel import rips_bars
+from skein.plans.kernel import point_bars
 from skein.schema import BARS
 
 
@@ -31,14 +31,9 @@ class RipsBars:
     def eval(self, points: list, max_dim: int = 1, threshold: float | None = None, modulus: int = 2):
         params = RipsParams(max_dim, threshold, modulus).validate()
         n = len(points or ())
-        pairs = [(i, j, distance(points[i], points[j])) for i in range(n) for j in range(i)]
-        far = [0.0] * n
-        for i, j, d in pairs:
-            far[i], far[j] = max(far[i], d), max(far[j], d)
-        limit = min(far, default=0.0) if threshold is None else threshold
-        pairs = [p for p in pairs if p[2] <= limit and not math.isinf(p[2])]
-        u, v, d = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        yield from sorted(rips_bars(n, u, v, d, checked_dim(n, params.max_dim, modulus), modulus))
+        if n:
+            top = checked_dim(n, params.max_dim, modulus)
+            yield from sorted(point_bars(np.array(points, np.float64).reshape(n, -1), top, threshold, modulus))
 
 
 def register(spark: SparkSession) -> None:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.kernel import INF, Ranks, Reducer, above, apparent, forest, sign_of, with_match
+from skein.plans.kernel import INF, Ranks, Reducer, apparent, forest, sign_of, with_match
 from skein.plans.spaces import loaded, rows_of
 from skein.storage import cut, part_of_group, stored_by_group
 
@@ -130,7 +130,7 @@ def _expanded(space, verts: np.ndarray, d: np.ndarray, dim: int) -> Iterator[tup
         if verts.shape[1] == dim + 1:
             yield verts[k : k + step], d[k : k + step]
         else:
-            yield from _expanded(space, *above(space, verts[k : k + step], d[k : k + step]), dim)
+            yield from _expanded(space, *space.above(verts[k : k + step], d[k : k + step]), dim)
 
 
 def _first_facet(space, verts: np.ndarray, diameter: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
-from skein.plans.kernel import INF, Dense, point_distances
+from skein.plans.kernel import INF, Dense, Listed, point_distances
 from skein.storage import filesystem
 
 #: Most points of which a worker keeps the whole matrix (128 MB); of more it keeps points or lists of neighbours.
@@ -57,62 +57,6 @@ class Cloud(Dense):
         return np.concatenate(u), np.concatenate(v), np.concatenate(d)
 
 
-class Listed(Cloud):
-    """Lists of neighbours."""
-
-    def __init__(self, n: int, u: np.ndarray, v: np.ndarray, d: np.ndarray):
-        self.n = n
-        a, b, length = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([d, d])
-        self.key = a * n + b
-        order = np.argsort(self.key)
-        self.key, self.near, self.length = self.key[order], b[order], length[order]
-        self.start = np.searchsorted(self.key, np.arange(n + 1) * n)
-
-    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = np.multiply(a, self.n) + b
-        if not len(self.key):
-            return np.full(np.shape(key), INF)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.length[at], INF)
-
-    def row(self, v: int) -> np.ndarray:
-        out = np.full(self.n, INF)
-        own = slice(self.start[v], self.start[v + 1])
-        out[self.near[own]] = self.length[own]
-        return out
-
-    def reach(self, verts: list[int], diameter: float) -> tuple[np.ndarray, np.ndarray]:
-        fewest = min(verts, key=lambda v: self.start[v + 1] - self.start[v])
-        own = slice(self.start[fewest], self.start[fewest + 1])
-        added, far = self.near[own], np.maximum(self.length[own], diameter)
-        for v in verts:
-            if v != fewest:
-                far = np.maximum(far, self.between(np.full(len(added), v), added))
-        return added[far < INF], far[far < INF]
-
-    def last_match(self, verts: np.ndarray, diameter: np.ndarray) -> np.ndarray:
-        """As of a matrix, but by the neighbours of each simplex's vertex that has fewest."""
-        found, step = np.full(len(verts), -1), 1 << 14
-        degree = np.diff(self.start)
-        for k in range(0, len(verts), step):
-            own, d = verts[k : k + step], diameter[k : k + step]
-            fewest = own[np.arange(len(own)), degree[own].argmin(1)]
-            size = degree[fewest]
-            of = np.repeat(np.arange(len(own)), size)
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + self.start[fewest][of]
-            w, ok = self.near[at], self.length[at] <= d[of]
-            for i in range(own.shape[1]):
-                of, w, other = of[ok], w[ok], own[of[ok], i]
-                ok = (other == fewest[of]) | (self.between(other, w) <= d[of])
-            np.maximum.at(found, k + of[ok], w[ok])
-        return found
-
-    def edges(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = slice(self.start[low], self.start[high])
-        u, v, d = np.repeat(np.arange(low, high), np.diff(self.start[low : high + 1])), self.near[own], self.length[own]
-        return u[v < u], v[v < u], d[v < u]
-
-
 class Matrix(Dense):
     """A matrix that is given."""
 
