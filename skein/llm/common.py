@@ -56,6 +56,14 @@ def schema_with(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name.lower() not in names), *(T.StructField(n, t) for n, t in more)])
 
 
+def hand_back() -> None:
+    """Gives memory that this process no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def lean(run):
     """run, a function of an Arrow stage, such that a worker hands the memory it no longer uses back when a task ends:
     workers outlive their tasks, and stages after this one would run beside what it left."""
@@ -64,10 +72,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
-            if trim:
-                trim(0)
+            hand_back()
 
     return whole
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skein.llm.common import arrow_batches, fold, free, map_rows, schema_with, strings, table
+from skein.llm.common import arrow_batches, fold, free, hand_back, map_rows, schema_with, strings, table
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their identifiers.
 TRAIN_ROWS = 4000
@@ -183,8 +183,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, mo
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+    """Fits in the driver, which hands back what that took: the steps after this one run beside what it keeps."""
     rows = training_rows(docs, labels, most)
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    try:
+        return fit([t for t, _ in rows], [y for _, y in rows])
+    finally:
+        hand_back()
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())]))
