@@ -72,3 +72,21 @@ def test_similarity_just_at_and_below_the_bound():
     w = [f"w{k}" for k in range(49)]  # 45 shingles; another last word changes one, four last words four
     sets = [set(similar.hash_set(list(hashed.hashes(" ".join(x).encode(), 5))).tolist()) for x in (w, w[:-5] + list("abcde"), w[:-6] + list("abcdef"))]
     assert [5 * len(sets[0] & s) >= 4 * len(sets[0] | s) for s in sets] == [True, 5 * 40 >= 4 * 50, False]
+
+
+def test_copies_unlike_each_other_are_gathered_by_the_least_edited(spark, documents, monkeypatch):
+    """Copies with three edits each are similar to the text that they come from and not to each other; its row isn't the first."""
+    words = [f"w{k}" for k in range(154)]
+    rows = []
+    for k in range(60):
+        mine = list(words)
+        for at in (2 + 5 * (k % 10), 52 + 5 * (3 * k % 10), 102 + 5 * ((7 * k + k // 10) % 10)):
+            mine[at] = f"x{k}"
+        rows.append((k, " ".join(mine)))
+    rows += [(60, " ".join(words)), (61, "another text")]
+    assert len(brute_kept(rows)) == 2 and len(brute_kept(rows[:60])) == 60
+    monkeypatch.setattr(similar, "SAMPLE", 1)
+    pairs, whole = [], similar.cut
+    monkeypatch.setattr(similar, "cut", lambda df, name="table": (out := whole(df, name), pairs.append(out.count()) if name in ("pairs", "possible") else None)[0])
+    assert sorted(r.doc_id for r in simhash.drop_near(documents(rows).repartition(3)).collect()) == [0, 61]
+    assert sum(pairs) < 4 * len(rows)
