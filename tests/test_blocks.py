@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from skein.operators import metric
 from skein.sources import memory
 
@@ -38,3 +40,18 @@ def test_blocks_of_points(spark, monkeypatch):
             assert rows(space.knn_graph(k)) == rows(metric.knn_graph(edges, k))
         for t in (0.0, 1.0, float("inf")):
             assert rows(space.within(t)) == rows(metric.within(edges, t))
+
+
+def test_few_pairs_are_left_to_exact_distances(monkeypatch):
+    """What a product in single precision leaves holds the k nearest, and is little more; also far from the origin."""
+    draw = np.random.default_rng(3)
+    for offset in (0.0, 1e6):
+        x, y = (offset + draw.normal(size=(n, 16)) for n in (300, 700))
+        exact = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        for kind in (np.float32, np.float64):
+            rough, slack, squared = metric._rough(x, y, kind)
+            assert squared and rough.dtype == kind and np.abs(rough.astype(float) - exact**2).max() <= slack
+            for by, d in ((0, exact), (1, exact.T)):
+                found = set(zip(*(c.tolist() for c in metric._lowest(rough, slack, 5, by)), strict=True))
+                assert {(a, int(b)) for a in range(len(d)) for b in np.argsort(d[a])[:6]} <= found
+                assert offset and kind is np.float32 or offset or len(found) < 9 * len(d)
