@@ -1,6 +1,7 @@
 """The pipeline's near-dedup against brute force: five-word shingles, Jaccard similarity 0.8."""
 
 import random
+import time
 
 import corpus_pipeline
 from skein.llm import common, similar, simhash
@@ -90,3 +91,51 @@ def test_copies_unlike_each_other_are_gathered_by_the_least_edited(spark, docume
     monkeypatch.setattr(similar, "cut", lambda df, name="table": (out := whole(df, name), pairs.append(out.count()) if name in ("pairs", "possible") else None)[0])
     assert sorted(r.doc_id for r in simhash.drop_near(documents(rows).repartition(3)).collect()) == [0, 61]
     assert sum(pairs) < 4 * len(rows)
+
+
+def test_parities_leave_all_similar_pairs_and_few_others(spark):
+    """Sets of 1 to 400 hashes, which share none to all, and of very different sizes."""
+    draw, sets, pairs = random.Random(3), [], []
+    for k in range(400):
+        n = draw.choice([1, 2, 5, 31, 32, 33, 40, 64, 65, 128, 129, 150, 257, 400])
+        one = [draw.getrandbits(64) for _ in range(n)]
+        left = one[: round(n * draw.choice([0.0, 0.3, 0.6, 0.8, 0.9, 0.97, 1.0]))]
+        two = left + [draw.getrandbits(64) for _ in range(draw.choice([0, 1, round(0.1 * n), n - len(left), 3 * n]))] or one[:1]
+        sets += [similar.hash_set([similar.np.array(s, similar.np.uint64)]) for s in (one, two)]
+        pairs.append((2 * k + 1, 2 * k))
+    keys = spark.createDataFrame([(k, len(s), similar.parity(s).tolist()) for k, s in enumerate(sets)], "row long, n int, parity array<long>")
+    left = {(r.a, r.b) for r in similar._likely(spark.createDataFrame(pairs, "a long, b long"), keys).collect()}
+    true = {(a, b) for a, b in pairs if 5 * len(set(sets[a].tolist()) & set(sets[b].tolist())) >= 4 * len(set(sets[a].tolist()) | set(sets[b].tolist()))}
+    assert 50 < len(true) < 250 and true <= left and len(left) < len(true) + 25
+
+
+def test_whole_sets_are_fetched_of_likely_pairs_only(documents, monkeypatch):
+    """Texts that begin and end alike share early hashes and are too different: no whole set of them is looked at."""
+    draw = random.Random(4)
+    rows = []
+    for k in range(12):
+        words = [f"w{j}" for j in range(100)]
+        for at in range(10, 95, 6):
+            words[at] = f"x{draw.getrandbits(40)}"
+        rows.append((k, " ".join(words)))
+    rows += [(100, " ".join(f"y{j}" for j in range(100))), (101, " ".join(f"y{j}" for j in range(98)))]
+    assert len(brute_kept(rows)) == 13
+    monkeypatch.setattr(similar, "COMMON", 1000)
+    fetched, whole = [], similar.cut
+    monkeypatch.setattr(similar, "cut", lambda df, name="table": (out := whole(df, name), fetched.append(out.count()) if name == "sets" else None)[0])
+    assert sorted(r.doc_id for r in simhash.drop_near(documents(rows).repartition(3)).collect()) == [*range(12), 100]
+    assert sum(fetched) == 2
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in list(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folder.getAllFiles())) if f.getName().startswith("shuffle_")}
+    before = files()
+    out = common.cut(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(50):  # deleted beside the driver's work
+        if not (files() - before):
+            break
+        time.sleep(0.1)
+    assert not (files() - before) and out.count() == 1000
